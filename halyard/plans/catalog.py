@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from halyard.plans import graph_queries, memory_queries, path_queries, symbol_queries
+
+MODULES = (path_queries, symbol_queries, graph_queries, memory_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "path_cascade"
