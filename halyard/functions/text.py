@@ -34,7 +34,7 @@ SKIP_ANY = sorted(
 SKIP_ROOT = sorted("capn claude codex eval evidence experiments next nuxt qmd sandbox scratch tmp vendor waymark zed".split())
 
 TEST_DIR = r"(?i)(^|/)(__tests__|benches|benchmarks?|examples|fixtures|spec|testdata|testing|tests?)/"
-TEST_FILE = r"(?i)[._-](bench|spec|test)\.[^/]+$"
+TEST_FILE = r"(?i)[._-](bench|spec|test)\.[^/]+\z"
 
 FAMILIES = {
     "js": "cjs cts js jsx mjs mts ts tsx", "go": "go", "rust": "rs", "jvm": "java kt kts scala", "python": "pxd pxi py pyi pyx",
@@ -47,19 +47,24 @@ def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def js_trim(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, r"^\s+|\s+\z", "")
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
 def dirname(path: Column) -> Column:
     """The POSIX directory of a path without a trailing slash."""
-    cut = F.regexp_replace(path, r"/+[^/]*$", "")
+    cut = F.regexp_replace(path, r"/+[^/]*\z", "")
     return F.when(~path.contains("/"), ".").when(cut == "", "/").otherwise(cut)
 
 
 def folded(path: Column) -> Column:
     """POSIX normalisation of a relative path: empty and `.` segments go, `..` takes the one before with it."""
-    up = lambda acc: F.when((acc == "") | (F.substring_index(acc, "/", -1) == ".."), F.concat(acc, F.when(acc == "", "..").otherwise("/.."))).otherwise(F.regexp_replace(acc, r"(^|/)[^/]+$", ""))
+    up = lambda acc: F.when((acc == "") | (F.substring_index(acc, "/", -1) == ".."), F.concat(acc, F.when(acc == "", "..").otherwise("/.."))).otherwise(F.regexp_replace(acc, r"(^|/)[^/]+\z", ""))
     step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.when(acc == "", x).otherwise(F.concat(F.lit("/"), x))))
     whole = F.aggregate(F.split(path, "/"), F.lit(""), step)
     return F.when(whole == "", F.when(path.endswith("/"), "./").otherwise(".")).otherwise(F.concat(whole, F.when(path.endswith("/"), "/").otherwise("")))
@@ -92,7 +97,7 @@ def is_test_file(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """The lower-case extension without its dot; null where there is none."""
-    return F.nullif(F.lower(F.regexp_extract(basename(path), r"[^/]\.([^./]+)$", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(basename(path), r"[^/]\.([^./]+)\z", 1)), F.lit(""))
 
 
 def language_family(path: Column) -> Column:
@@ -109,33 +114,33 @@ def plausible_edge(caller: Column, callee: Column, name: Column) -> Column:
 
 
 def literal_text(question: Column) -> Column:
-    q = F.regexp_replace(F.trim(question), r"^['\"`]+|['\"`]+$", "")
+    q = F.regexp_replace(js_trim(question), r"^['\"`]+|['\"`]+\z", "")
     return F.regexp_replace(F.replace(q, F.lit("\\"), F.lit("/")), r"^\./", "")
 
 
 def literal_intent(question: Column) -> Column:
     """struct(is_literal, normalized, is_explicit, could_be_symbol) of a question that may be a path."""
-    q = F.regexp_replace(F.trim(question), r"^['\"`]+|['\"`]+$", "")
+    q = F.regexp_replace(js_trim(question), r"^['\"`]+|['\"`]+\z", "")
     norm = literal_text(question)
     low = F.lower(norm)
-    has_ext = F.regexp_extract(low, r"\.([a-z0-9]+)[?!.,;)]*$", 1).isin(EXTENSIONS)
+    has_ext = F.regexp_extract(low, r"\.([a-z0-9]+)[?!.,;)]*\z", 1).isin(EXTENSIONS)
     explicit = norm.contains("/") | q.startswith("./") | q.startswith(".\\") | q.startswith("/")
     literal = norm.contains("/") | has_ext | low.startswith(".") | low.isin(BUILD_FILES)
-    dotted = q.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)+(\(\))?$")
+    dotted = q.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)+(\(\))?\z")
     return F.struct(literal.alias("is_literal"), norm.alias("normalized"), explicit.alias("is_explicit"), (literal & ~explicit & has_ext & dotted).alias("could_be_symbol"))
 
 
 NARRATIVE = r"(?i)^(describe|explain|how|why|tell\s+me)\b"
 NARRATIVE_ANY = r"(?i)\b(explain\s+how|how\s+can|how\s+do|how\s+does|how\s+to|what\s+does)\b"
 ARCH_ANY = r"(?i)\bwhat\s+(are|is)\s+(the\s+)?(main\s+)?entry\s*points?\b"
-ARCH = r"(?i)\b(codebase|project|repo|system)\s+architecture\b|\b(display|dump|get|show)\s+(the\s+)?architecture\b|^architecture\??$|entrypoint|entry point|high-level structure|hotspots|overview of the repo|project topology"
+ARCH = r"(?i)\b(codebase|project|repo|system)\s+architecture\b|\b(display|dump|get|show)\s+(the\s+)?architecture\b|^architecture\??\z|entrypoint|entry point|high-level structure|hotspots|overview of the repo|project topology"
 TRACE = r"(?i)call hierarchy|callees of|callers of|trace |trace path|what calls|which functions call|who calls|\bwhat does \w+ call\b"
 SYMBOL = (
     r"(?i)where is (class|function|interface|method)|find (function|method|symbol)|locate symbol|line numbers of|ast node|method signature"
     r"|(declaration|definition|implementation) of|(declared|defined) in|\bimplemented\s+in\b|\b(declared|defined)\s+in\b|\b(declaration|definition|implementation)\s+of\b"
-    r"|\bwhere\s+is\s+[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*\s+(declared|defined|implemented|located)\b|\bwhere\s+is\s+[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*\s*\??$"
+    r"|\bwhere\s+is\s+[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*\s+(declared|defined|implemented|located)\b|\bwhere\s+is\s+[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*\s*\??\z"
 )
-BARE = r"^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)?(\(\))?\??$"
+BARE = r"^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)?(\(\))?\??\z"
 NAME = r"([A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*)"
 
 
@@ -145,19 +150,19 @@ def names_in(question: Column, stop: list[str]) -> Column:
 
 
 def is_narrative(question: Column) -> Column:
-    q = F.trim(question)
+    q = js_trim(question)
     return q.rlike(NARRATIVE) | q.rlike(NARRATIVE_ANY)
 
 
 def intent(question: Column) -> Column:
     """struct(tool, target, requires_parser): the first rule group that fits."""
-    q = F.trim(question)
+    q = js_trim(question)
     told = q.rlike(NARRATIVE) | (q.rlike(r"(?i)^what\s+is\b") & ~q.rlike(r"(?i)entry\s*point|main\s+entry|architecture"))
     arch = (~told & q.rlike(ARCH)) | q.rlike(ARCH_ANY)
     trace, symbol = q.rlike(TRACE), q.rlike(SYMBOL)
     bare = ~literal_intent(q)["is_literal"] & q.rlike(BARE)
     last, first = names_in(q, TRACE_STOP), names_in(q, DEFINITION_STOP)
-    cut = lambda c: F.regexp_replace(c, r"[?().]+$", "")
+    cut = lambda c: F.regexp_replace(c, r"[?().]+\z", "")
     pick = lambda names, at: F.when(F.size(names) > 0, F.try_element_at(names, F.lit(at))).otherwise(q)
     tool = F.when(arch, "get_architecture").when(trace, "trace_path").otherwise("search_graph")
     target = F.when(arch, F.lit(None)).when(trace, cut(pick(last, -1))).when(symbol, cut(pick(first, 1))).when(bare, cut(q))
@@ -166,7 +171,7 @@ def intent(question: Column) -> Column:
 
 def identifier_like(token: Column) -> Column:
     """A hump after a lower-case letter, an underscore or a dot, in more than one character."""
-    t = F.trim(token)
+    t = js_trim(token)
     return (F.length(t) > 1) & t.rlike(r"[a-z].*[A-Z]|[_.]")
 
 
@@ -187,7 +192,7 @@ def memory_terms(text: Column) -> Column:
 
 
 def exact_question(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(text)), r"[?.,!]+$", "")
+    return F.regexp_replace(F.lower(js_trim(text)), r"[?.,!]+\z", "")
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -196,8 +201,8 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def is_not_applicable(text: Column) -> Column:
-    t = F.trim(text)
-    return t.rlike(r"(?im)^\s*status\s*:\s*[\"']?not_applicable[\"']?\s*$") | t.rlike(r"(?i)^\[?not_applicable\]?(\s*$|\s*[:\-—.]|\s+-\s)")
+    t = js_trim(text)
+    return t.rlike(r"(?im)^\s*status\s*:\s*[\"']?not_applicable[\"']?\s*$") | t.rlike(r"(?i)^\[?not_applicable\]?(\s*\z|\s*[:\-—.]|\s+-\s)")
 
 
 def line_words(line: Column) -> Column:

@@ -53,7 +53,7 @@ def chart(entries: DataFrame, new: DataFrame, question_limit: int = 240, details
 
 def exact(questions: DataFrame, entries: DataFrame, fresh: DataFrame) -> DataFrame:
     """qid, id, score 100: for each question the newest fresh entry with the same normalised question (then least id)."""
-    e = entries.join(fresh.where("fresh").select("id"), "id", "left_semi").select("id", "at", F.regexp_replace(F.lower("question"), r"[?.,!]+$", "").alias("key"))
+    e = entries.join(fresh.where("fresh").select("id"), "id", "left_semi").select("id", "at", F.regexp_replace(F.lower("question"), r"[?.,!]+\z", "").alias("key"))
     hit = questions.select("qid", exact_question(F.col("question")).alias("key")).join(e, "key")
     w = Window.partitionBy("qid").orderBy(F.desc("at"), "id")
     return hit.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("qid", "id", F.lit(100).alias("score"))
