@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import open_fs, shared_path, table, written
 
-SEQUENCE, ROWS, END, MOST_PIECES = 2048, 512, 2, 600_000
+SEQUENCE, ROWS, END, MOST_PIECES, SHORT = 2048, 512, 2, 600_000, 9
 EDGE = re.compile(r"^ |\s | \s| $")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -54,6 +54,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # a byte-level token has a character a byte
+        self.width[list(vocab.values())] = [len(t) for t in vocab]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -63,12 +66,28 @@ class Encoder:
         return [head, *[" " + x for x in rest]]
 
     def learn(self, pieces: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(pieces, got))
+        """Encode new pieces. Those that begin with a single space go many to a text, which is cut again by token widths."""
+        joint = [p for p in pieces if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+        alone = [p for p in pieces if p[:1] != " " or len(p) < 2 or p[1].isspace() or p[-1].isspace()]
+        encode = self.tokenizer.encode_batch_fast
+        self.known.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(alone, encode(alone, add_special_tokens=False)))
+        runs = [joint[k : k + 256] for k in range(0, len(joint), 256)]
+        size = self.dtype.itemsize
+        for run, e in zip(runs, encode(["".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            ends = np.cumsum(self.width[ids])
+            want = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in run])
+            at = np.searchsorted(ends, want) + 1
+            if not np.array_equal(ends[at - 1], want):
+                raise ValueError("tokens don't end where pieces do")
+            data = ids.tobytes()
+            self.known.update((p, data[lo * size : hi * size]) for p, lo, hi in zip(run, [0, *at[:-1].tolist()], at.tolist()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MOST_PIECES:
-            self.known.clear()
+            self.known = {p: b for p, b in self.known.items() if len(p) <= SHORT}  # short pieces come back soon
+            if len(self.known) > MOST_PIECES // 2:
+                self.known.clear()
         cut = [self.pieces(t) for t in texts]
         get = self.known.get
         parts = [list(map(get, c)) for c in cut]
