@@ -21,6 +21,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: As LOWER, and every ASCII byte that is no letter or digit becomes a space.
 ALNUM = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
+#: What this driver made and removes at its end.
 _made: list[str] = []
 
 
@@ -43,7 +44,10 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_base(spark)}/halyard/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there goes when this driver ends."""
+    path = f"{shared_base(spark)}/halyard/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def remove(path: str) -> None:

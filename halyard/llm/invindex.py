@@ -107,6 +107,11 @@ def build_index(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
     rows.withColumn("kind", F.when(F.col("term").isNull(), "documents").otherwise("postings")).write.partitionBy("kind").option("compression", "zstd").parquet(path)
 
 
+def read_index(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The index's rows of one kind, documents or postings; none where nothing was indexed."""
+    return spark.read.schema(SCHEMA + ", kind string").parquet(path).where(F.col("kind") == kind)
+
+
 class Postings:
     """The lists of one segment for the terms of a block of phrases."""
 
@@ -176,7 +181,7 @@ def search(index: str, spark: SparkSession, phrases: dict[tuple[bytes, ...], lis
 
     With `span`, proximity matches instead: all words of the phrase within that many words of its rarest one.
     """
-    post = spark.read.parquet(f"{index}/kind=postings").select("segment", "term", "n", "postings")
+    post = read_index(spark, index, "postings").select("segment", "term", "n", "postings")
     known = spark.createDataFrame(pd.DataFrame({"t": sorted({w for p in phrases for w in p})}), "t binary")  # bounded with the block
     wanted = post.join(F.broadcast(known), post["term"] == known["t"], "left_semi")
     shared = spark.sparkContext.broadcast(list(phrases.items()))
@@ -232,7 +237,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = spark.createDataFrame([], "segment string, at long, length long, item_id long")
-    rows = spark.read.parquet(f"{path}/kind=documents").select("segment", "number", "doc_id", "start", "n_words")
+    rows = read_index(spark, path, "documents").select("segment", "number", "doc_id", "start", "n_words")
     found = rows.groupBy("segment").cogroup(hits.groupBy("segment")).applyInPandas(_by_document, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     found = written(found, "decontaminated")
     if keep_index is None:
