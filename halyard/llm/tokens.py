@@ -8,8 +8,8 @@ allows, else in 32.
 
 Files get names of their own in each attempt of a task; the manifest, committed by Spark, names those that count.
 
-The tokenizer sees each distinct piece once: a text may be cut before a single space between two characters that aren't
-white space, as no match of the pre-tokenizer's pattern goes on over such a place nor looks back over it.
+The tokenizer sees each distinct piece once: a text may be cut before a single space or line feed between two characters
+that aren't white space, as no match of the pre-tokenizer's pattern goes on over such a place nor looks back over it.
 
 Cases: null text is the empty text, which has the end id only; ids sort ascending, nulls last, repeated ids by a hash of
 their text; strings of special tokens in a text are ordinary text; an empty table gives no shard; other columns are
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from halyard.llm.common import open_fs, shared_path, table, written
 
 SEQUENCE, ROWS, END, MOST_PIECES, SHORT = 2048, 512, 2, 600_000, 9
-EDGE = re.compile(r"^ |\s | \s| $")
-CUT = re.compile(r"(?<=\S)(?= \S)")
+RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+RARE_ASCII = [c for c in RARE if c.isascii()]
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def default_vocabulary() -> str:
@@ -43,6 +44,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def plain(text: str) -> bool:
+    """True where white space is single spaces and line feeds, none of them at an end or next to another."""
+    return not (
+        "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+        or any(c in text for c in RARE_ASCII) or (not text.isascii() and any(c in text for c in RARE))
+    ) and text != ""
+
+
 class Encoder:
     """Texts to ids, as bytes of `dtype`, with a bounded memory of pieces."""
 
@@ -53,49 +62,68 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known = Known({"": b""})
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # a byte-level token has a character a byte
         self.width[list(vocab.values())] = [len(t) for t in vocab]
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if EDGE.search(text):
-            return CUT.split(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces. Those that begin with a single space go many to a text, which is cut again by token widths."""
-        joint = [p for p in pieces if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
-        alone = [p for p in pieces if p[:1] != " " or len(p) < 2 or p[1].isspace() or p[-1].isspace()]
-        encode = self.tokenizer.encode_batch_fast
-        self.known.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(alone, encode(alone, add_special_tokens=False)))
-        runs = [joint[k : k + 256] for k in range(0, len(joint), 256)]
-        size = self.dtype.itemsize
-        for run, e in zip(runs, encode(["".join(r) for r in runs], add_special_tokens=False)):
-            ids = np.array(e.ids, self.dtype)
-            ends = np.cumsum(self.width[ids])
-            want = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in run])
-            at = np.searchsorted(ends, want) + 1
-            if not np.array_equal(ends[at - 1], want):
-                raise ValueError("tokens don't end where pieces do")
-            data = ids.tobytes()
-            self.known.update((p, data[lo * size : hi * size]) for p, lo, hi in zip(run, [0, *at[:-1].tolist()], at.tolist()))
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that each begin with one space or line feed before other characters: many go to a text,
+        which is cut again where the tokens' widths add up to the pieces'."""
+        if not pieces:
+            return []
+        runs = ["".join(pieces[k : k + 256]) for k in range(0, len(pieces), 256)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], self.dtype)
+        ends = np.cumsum(self.width[ids])
+        want = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
+        at = np.searchsorted(ends, want) + 1
+        if not np.array_equal(ends[at - 1], want):
+            raise ValueError("tokens don't end where pieces do")
+        data, cuts = ids.tobytes(), (at * self.dtype.itemsize).tolist()
+        return [data[lo:hi] for lo, hi in zip([0, *cuts], cuts)]
+
+    def whole(self, texts: list[str]) -> dict[str, bytes]:
+        each = list(dict.fromkeys(texts))
+        return {t: np.array(e.ids, self.dtype).tobytes() for t, e in zip(each, self.tokenizer.encode_batch_fast(each, add_special_tokens=False))}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MOST_PIECES:
-            self.known = {p: b for p, b in self.known.items() if len(p) <= SHORT}  # short pieces come back soon
-            if len(self.known) > MOST_PIECES // 2:
-                self.known.clear()
-        cut = [self.pieces(t) for t in texts]
-        get = self.known.get
-        parts = [list(map(get, c)) for c in cut]
-        new = dict.fromkeys(p for c, x in zip(cut, parts) if None in x for p, b in zip(c, x) if b is None)
-        if new:
-            self.learn(list(new))
-        of = self.known.__getitem__
-        return [b"".join(map(of, c) if None in x else x) for c, x in zip(cut, parts)]
+        """The ids of texts. `known` has a word's ids behind a space, and those of a line feed with a word."""
+        known = self.known
+        if len(known) > MOST_PIECES:
+            short = {p: b for p, b in known.items() if len(p) <= SHORT}  # short pieces come back soon
+            known.clear()
+            known.update(short if len(short) <= MOST_PIECES // 2 else {"": b""})
+        known.new = []
+        even = [k for k, t in enumerate(texts) if plain(t)]
+        cut, heads, parts, lacking = [], [], [], []
+        get = known.__getitem__
+        for k in even:
+            c = texts[k].replace("\n", " \n").split(" ")
+            heads.append(c[0])
+            c[0] = ""
+            n = len(known.new)
+            parts.append(list(map(get, c)))
+            cut.append(c)
+            lacking.append(len(known.new) > n)
+        new = list(dict.fromkeys(known.new))
+        known.update(zip(new, self.learn([p if p[0] == "\n" else " " + p for p in new])))
+        other = {k: CUT.split(texts[k]) for k in sorted(set(range(len(texts))).difference(even))}
+        apart = self.whole(heads + [p for c in other.values() for p in c])
+        out = [b""] * len(texts)
+        for k, head, c, x, more in zip(even, heads, cut, parts, lacking):
+            out[k] = apart[head] + b"".join([known[p] if b is None else b for p, b in zip(c, x)] if more else x)
+        for k, c in other.items():
+            out[k] = b"".join([apart[p] for p in c])
+        return out
+
+
+class Known(dict):
+    """Ids by piece; pieces that aren't there are noted in `new`."""
+
+    new: list[str]
+
+    def __missing__(self, piece: str) -> None:
+        self.new.append(piece)
 
 
 _encoders: dict[str, Encoder] = {}
