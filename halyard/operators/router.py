@@ -47,12 +47,13 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
         raise ValueError(f"INVALID_TIER_OVERRIDE: {tier}")
     q = questions.select("qid", "question", T.intent(F.col("question")).alias("i"), T.literal_intent(F.col("question")).alias("l"), T.tokens(F.col("question")).alias("tok"), T.is_narrative(F.col("question")).alias("told"))
     q = cut(q.select("qid", "question", "i.tool", "i.target", "i.requires_parser", "l.*", "tok", "told"))
+    files, syms = cut(files), cut(syms)  # every stage reads them
     done: list[DataFrame] = []
 
     def settle(df: DataFrame, rest: DataFrame) -> DataFrame:
         df = cut(df)
         done.append(df)
-        return rest.join(df.select("qid"), "qid", "left_anti")
+        return cut(rest.join(df.select("qid"), "qid", "left_anti"))
 
     rest = q
     soft = "hit" if auto_resolve else "junction"
@@ -67,24 +68,26 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
         hit = _rows(j, "hit", "structure", "codedb", name=F.coalesce("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")).join(j.select("qid", stage.alias("s")), "qid").withColumn("stage", F.col("s")).drop("s")
         rest = settle(hit.select(*COLUMNS), rest)
     if tier in ("auto", "path"):
-        lit = rest if tier == "path" else rest.where("is_literal")
+        lit = cut(rest if tier == "path" else rest.where("is_literal"))
         asked = lit.select("qid", F.col("normalized").alias("question"), "is_explicit")
-        cas = paths.cascade(asked, files).where("status = 'hit'").select("qid", "kind", "file")
+        cas = cut(paths.cascade(asked, files).where("status = 'hit'").select("qid", "kind", "file"))
         rest = settle(_rows(lit.join(cas, "qid"), "hit", "literal", "path", name=F.col("kind"), path=F.col("file")), rest)
-        lit = lit.join(cas.select("qid"), "qid", "left_anti")
+        lit = cut(lit.join(cas.select("qid"), "qid", "left_anti"))
         col = paths.collisions(lit.select("qid", F.col("normalized").alias("question")), files).select("qid", "candidates")
+        col = cut(col)
         rest = settle(_rows(lit.join(col, "qid"), "miss", "literal", "path", name=F.col("candidates"), miss_code=F.lit("AMBIGUOUS_PATH_COLLISION")), rest)
-        lit = lit.join(col.select("qid"), "qid", "left_anti")
+        lit = cut(lit.join(col.select("qid"), "qid", "left_anti"))
         dotted = lit.where("could_be_symbol")
         key = dotted.select("qid", F.regexp_replace("normalized", r"\(\)\z", "").alias("question"))
         sym = symbols.answers(key, symbols.lookup(key, syms)).where("status = 'hit'").drop("question")
+        sym = cut(sym)
         rest = settle(_rows(dotted.select("qid", "question").join(sym, "qid"), "hit", "literal_symbol", "codedb", name=F.col("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")), rest)
         lit = lit.join(sym.select("qid"), "qid", "left_anti")
         rest = settle(_rows(lit, "miss", "literal", "path", miss_code=F.lit("SYMBOL_NOT_FOUND")), rest)
     if tier in ("auto", "fuzzy"):
         rest = settle(_rows(_fuzzy(rest, "candidates", syms), soft, "fuzzy_identifiers", "fuzzy-lexical", name=F.col("name"), path=F.col("path"), line=F.col("line"), score=F.col("confidence")), rest)
     if tier in ("auto", "capn"):
-        fresh = memory.freshness(entries, cited, stored)
+        fresh = cut(memory.freshness(entries, cited, stored))
         hit = memory.exact(rest.select("qid", "question"), entries, fresh)
         rest = settle(_rows(rest.select("qid", "question").join(hit, "qid"), soft, "memory_exact", "capn", name=F.col("id").cast("string"), score=F.lit(100)), rest)
         listed = cited.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("file")), " ").alias("files"))
