@@ -39,14 +39,15 @@ def features(text: str | None) -> np.ndarray:
 
 
 def fit(rows: list[tuple[np.ndarray, int]], alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, least: int = LEAST) -> np.ndarray:
-    """FTRL-proximal weights, the bias last; rows: distinct coordinates and label.
+    """FTRL-proximal weights, the bias last; rows: distinct coordinates and label, which are used up.
 
     Coordinates are taken in once `least` rows have them.
     """
     seen = np.zeros(BUCKETS, np.int32)
     for at, _ in rows:
         seen[at] += 1
-    rows = [(at[seen[at] >= least], y) for at, y in rows]
+    for k, (at, y) in enumerate(rows):
+        rows[k] = (at[seen[at] >= least], y)
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
