@@ -439,7 +439,6 @@ def python(text: str) -> list[Symbol]:
             here = True
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             add(node.name, "method" if inside else "function", node)
-            here = False
         elif top and isinstance(node, ast.Assign):
             for t in node.targets:
                 for n in targets(t):
@@ -455,9 +454,10 @@ PARSERS = {"markdown": markdown, "json": json_outline, "toml": toml, "yaml": yam
 
 def outline(path: str, text: str, part: str | None = None) -> list[Symbol]:
     """The symbols of a file, those whose name holds `part` (case aside) if given."""
+    from halyard.functions import braces
+
     lang = language_of(path)
-    if lang not in PARSERS:
-        raise OutlineError("UNSUPPORTED_LANGUAGE", lang)
     if len(text.encode("utf-8", "surrogatepass")) > 1 << 20:
         raise OutlineError("FILE_TOO_LARGE", path)
-    return [s for s in PARSERS[lang](text) if part is None or part.lower() in s.name.lower()]
+    parser = PARSERS.get(lang) or (lambda t: (braces.ends if lang in ("elixir", "lua", "ruby") else braces.braces)(t, lang))
+    return [s for s in parser(text) if part is None or part.lower() in s.name.lower()]

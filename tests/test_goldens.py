@@ -280,3 +280,15 @@ def test_repository(spark, tmp_path):
     assert repository.store_config(spark, str(tmp_path / "config.json")) is False and repository.store_config(spark, str(tmp_path / "none.json")) is None
     text = spark.createDataFrame([('{"main": "a.js", "bin": {"x": "b.js"}, "exports": {".": "a.js"}}',)], "t string")
     assert text.select(repository.package_entries(F.col("t")).alias("e")).first().e == ["a.js", "b.js"]
+
+
+def test_evidence(spark):
+    from halyard.operators import evidence
+
+    text = ["import {", "  start,", "} from 'x'", "// start here", "export function boot() {", '  log("start");', "  startServer();", "  startServer();", "}", "", "const fs = require('fs')", "class Runner {}", "xstart()"]
+    lines = spark.createDataFrame([("a.ts", k + 1, t) for k, t in enumerate(text)], "path string, line int, text string")
+    facets = spark.createDataFrame([("life", ["start", "boot"])], "facet string, keywords array<string>")
+    found = evidence.evidence(lines, facets)
+    assert sorted((r.line, r.hits, r.score) for r in found.collect()) == [(5, 1, 3), (7, 1, 1), (12, 0, 2)]
+    assert sorted(r.line for r in evidence.selected(found, 1).collect()) == [5]
+    assert [(r.path, r.keyword_lines) for r in evidence.ranked_files(found).collect()] == [("a.ts", 2)]
