@@ -154,7 +154,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = DA
 
 def _blocks(folder: str, lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held, directory, first = _Files(folder, ".cdx.gz", 1 << 62), [], [], None
+        out, held, directory, first, total = _Files(folder, ".cdx.gz", 1 << 62), [], [], None, 0
 
         def close_block() -> None:
             data = _gzip("".join(x + "\n" for x in held).encode("utf-8", "surrogatepass"))
@@ -165,6 +165,7 @@ def _blocks(folder: str, lines: int):
         for b in batches:
             for key, file, offset, length in zip(*(c.to_pylist() for c in b.columns)):
                 first = key if first is None else first
+                total += length
                 held.append(f"{key}\t{file}\t{offset}\t{length}")
                 if len(held) >= lines:
                     close_block()
@@ -174,17 +175,18 @@ def _blocks(folder: str, lines: int):
         if directory:
             with out.fs.open_output_stream(f"{out.at}/{out.name}.dir", compression=None) as f:
                 f.write("".join(directory).encode("utf-8", "surrogatepass"))
-            yield pa.record_batch([pa.array([first]), pa.array([out.name])], ["first", "file"])
+            yield pa.record_batch([pa.array([first]), pa.array([out.name]), pa.array([total], pa.int64())], ["first", "file", "bytes"])
 
     return run
 
 
 def write_index(entries: DataFrame, folder: str, lines: int = BLOCK_LINES) -> DataFrame:
-    """Write the capture index; returns first (key) and file, one row an index file. Keys with tabs have them escaped."""
+    """Write the capture index; returns first (key), file and bytes (of its records), one row an index file. Keys with
+    tabs have them escaped."""
     key = F.regexp_replace("key", "[\\t\\r\\n]", "%09")
     e = entries.select(key.alias("key"), "file", "offset", "length")
     e = e.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    return written(e.mapInArrow(_blocks(folder, lines), "first string, file string"), "warc-index")
+    return written(e.mapInArrow(_blocks(folder, lines), "first string, file string, bytes long"), "warc-index")
 
 
 class IndexFile:
@@ -303,9 +305,10 @@ def _read(archives: str, check: bool):
 
 def read_archives(spark: SparkSession, index: str, manifest: DataFrame, archives: str, check: bool = True) -> DataFrame:
     """The result columns of every indexed record; ranges are read in archive order, SPAN bytes of a file at a time."""
-    n = max(1, manifest.count())
-    entries = manifest.select("file").repartition(n).mapInArrow(_entries(index), "file string, offset long, length long")
-    entries = entries.repartition("file", (F.col("offset") / SPAN).cast("long")).sortWithinPartitions("file", "offset")
+    n, total = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    entries = manifest.select("file").repartition(max(1, n)).mapInArrow(_entries(index), "file string, offset long, length long")
+    # as many tasks as there are spans to read: the entries themselves are too small to tell
+    entries = entries.repartition(max(1, -(-total // SPAN)), "file", (F.col("offset") / SPAN).cast("long")).sortWithinPartitions("file", "offset")
     return entries.mapInArrow(_read(archives, check), RESULT)
 
 
