@@ -27,11 +27,11 @@ DEFINITION_STOP = sorted(
     "are class declaration declared defined definition find function implementation implemented in interface is lines locate located method numbers of signature symbol the where".split()
 )
 
-#: Skipped at any depth, and at the root only.
+#: Skipped at any depth, and at the root only; a tool's own state folders are given to `skipped` besides.
 SKIP_ANY = sorted(
-    ".capn .capn-hook .claude .codedb .codedb-core .codex .git .next .nuxt .qmd .venv .waymark .zed __pycache__ build coverage dist node_modules out venv".split()
+    ".claude .codex .git .next .nuxt .qmd .venv .zed __pycache__ build coverage dist node_modules out venv".split()
 )
-SKIP_ROOT = sorted("capn claude codex eval evidence experiments next nuxt qmd sandbox scratch tmp vendor waymark zed".split())
+SKIP_ROOT = sorted("claude codex eval evidence experiments next nuxt qmd sandbox scratch tmp vendor zed".split())
 
 TEST_DIR = r"(?i)(^|/)(__tests__|benches|benchmarks?|examples|fixtures|spec|testdata|testing|tests?)/"
 TEST_FILE = r"(?i)[._-](bench|spec|test)\.[^/]+\z"
@@ -78,14 +78,14 @@ def normalized_path(raw: Column) -> Column:
     return F.struct(F.when(~bad, F.regexp_replace(norm, r"^\./", "")).alias("path"), F.when(bad, "INVALID_PATH").alias("error"))
 
 
-def skipped(path: Column) -> Column:
-    """True for paths that a walk leaves out."""
+def skipped(path: Column, state: tuple[str, ...] = (), root_state: tuple[str, ...] = ()) -> Column:
+    """True for paths that a walk leaves out; state: further folder names, at any depth and at the root only."""
     parts = F.split(path, "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
     name = F.element_at(parts, -1)
     return (
-        F.arrays_overlap(dirs, F.array(*map(F.lit, SKIP_ANY)))
-        | ((F.size(parts) > 1) & F.element_at(parts, 1).isin(SKIP_ROOT))
+        F.arrays_overlap(dirs, F.array(*map(F.lit, [*SKIP_ANY, *state])))
+        | ((F.size(parts) > 1) & F.element_at(parts, 1).isin([*SKIP_ROOT, *root_state]))
         | (name == ".DS_Store") | name.endswith(".log") | name.endswith(".tsbuildinfo")
     )
 

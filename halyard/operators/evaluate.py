@@ -32,7 +32,7 @@ def comparison(pairs: DataFrame) -> DataFrame:
 
 def routing_matches(actual: Column, expected: Column) -> Column:
     """An expectation that is unset fits anything; `symbol` stands for the structural index."""
-    return F.when(expected.isNull() | (expected == ""), True).otherwise(actual == F.when(expected == "symbol", "codedb").otherwise(expected))
+    return F.when(expected.isNull() | (expected == ""), True).otherwise(actual == F.when(expected == "symbol", "structure").otherwise(expected))
 
 
 def covers(actual: Column, expected: Column) -> Column:

@@ -15,7 +15,7 @@ from halyard.operators import fuzzy, memory, paths, symbols
 from halyard.plans.cut import cut
 
 COLUMNS = ["qid", "question", "status", "stage", "provider", "name", "path", "line", "score", "miss_code"]
-TIERS = ("auto", "ast", "path", "fuzzy", "capn")
+TIERS = ("auto", "ast", "path", "fuzzy", "memory")
 
 
 def _rows(df: DataFrame, status: str, stage: str, provider: str, **cols: Column) -> DataFrame:
@@ -41,7 +41,7 @@ def _fuzzy(open_: DataFrame, which: str, syms: DataFrame) -> DataFrame:
 def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: DataFrame, cited: DataFrame, stored: DataFrame, tier: str = "auto", auto_resolve: bool = False) -> DataFrame:
     """One row per question: status (hit, junction, miss), the stage that decided, and what it found or why not.
 
-    questions: qid, question (one row a qid). tier forces one tier: ast, path, fuzzy or capn.
+    questions: qid, question (one row a qid). tier forces one tier: ast, path, fuzzy or memory.
     """
     if tier not in TIERS:
         raise ValueError(f"INVALID_TIER_OVERRIDE: {tier}")
@@ -59,13 +59,13 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
     soft = "hit" if auto_resolve else "junction"
     if tier in ("auto", "ast"):
         arch = rest.where("requires_parser AND tool = 'get_architecture'")
-        rest = settle(_rows(arch, "hit", "architecture", "codedb"), rest)
+        rest = settle(_rows(arch, "hit", "architecture", "structure"), rest)
         asked = rest.where("requires_parser AND target IS NOT NULL")
         found = symbols.lookup(asked.select("qid", F.col("target").alias("question")), syms, widen=True)
         got = symbols.answers(asked.select("qid", F.col("target").alias("question")), found).where("status = 'hit'").drop("question")
         j = asked.select("qid", "question", "tool").join(got, "qid")
         stage = F.when(F.col("ambiguous"), "ambiguous").otherwise(F.col("tool"))
-        hit = _rows(j, "hit", "structure", "codedb", name=F.coalesce("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")).join(j.select("qid", stage.alias("s")), "qid").withColumn("stage", F.col("s")).drop("s")
+        hit = _rows(j, "hit", "structure", "structure", name=F.coalesce("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")).join(j.select("qid", stage.alias("s")), "qid").withColumn("stage", F.col("s")).drop("s")
         rest = settle(hit.select(*COLUMNS), rest)
     if tier in ("auto", "path"):
         lit = cut(rest if tier == "path" else rest.where("is_literal"))
@@ -81,27 +81,27 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
         key = dotted.select("qid", F.regexp_replace("normalized", r"\(\)\z", "").alias("question"))
         sym = symbols.answers(key, symbols.lookup(key, syms)).where("status = 'hit'").drop("question")
         sym = cut(sym)
-        rest = settle(_rows(dotted.select("qid", "question").join(sym, "qid"), "hit", "literal_symbol", "codedb", name=F.col("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")), rest)
+        rest = settle(_rows(dotted.select("qid", "question").join(sym, "qid"), "hit", "literal_symbol", "structure", name=F.col("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")), rest)
         lit = lit.join(sym.select("qid"), "qid", "left_anti")
         rest = settle(_rows(lit, "miss", "literal", "path", miss_code=F.lit("SYMBOL_NOT_FOUND")), rest)
     if tier in ("auto", "fuzzy"):
         rest = settle(_rows(_fuzzy(rest, "candidates", syms), soft, "fuzzy_identifiers", "fuzzy-lexical", name=F.col("name"), path=F.col("path"), line=F.col("line"), score=F.col("confidence")), rest)
-    if tier in ("auto", "capn"):
+    if tier in ("auto", "memory"):
         fresh = cut(memory.freshness(entries, cited, stored))
         hit = memory.exact(rest.select("qid", "question"), entries, fresh)
-        rest = settle(_rows(rest.select("qid", "question").join(hit, "qid"), soft, "memory_exact", "capn", name=F.col("id").cast("string"), score=F.lit(100)), rest)
+        rest = settle(_rows(rest.select("qid", "question").join(hit, "qid"), soft, "memory_exact", "memory", name=F.col("id").cast("string"), score=F.lit(100)), rest)
         listed = cited.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("file")), " ").alias("files"))
         body = entries.join(fresh.where("fresh").select("id"), "id", "left_semi").join(listed, "id", "left").select("id", F.concat_ws(" ", "question", "details", "files").alias("body"))
         near = memory.bm25(rest.select("qid", "question"), body, 1)
-        rest = settle(_rows(rest.select("qid", "question").join(near, "qid"), soft, "memory_bm25", "capn", name=F.col("id").cast("string"), score=F.col("score")), rest)
-    if tier == "capn":
-        rest = settle(_rows(rest, "miss", "memory", "capn", miss_code=F.lit("NO_CHARTED_MEMORY")), rest)
+        rest = settle(_rows(rest.select("qid", "question").join(near, "qid"), soft, "memory_bm25", "memory", name=F.col("id").cast("string"), score=F.col("score")), rest)
+    if tier == "memory":
+        rest = settle(_rows(rest, "miss", "memory", "memory", miss_code=F.lit("NO_CHARTED_MEMORY")), rest)
     if tier == "ast":
-        rest = settle(_rows(rest, "miss", "structure", "codedb", miss_code=F.lit("SYMBOL_NOT_FOUND")), rest)
+        rest = settle(_rows(rest, "miss", "structure", "structure", miss_code=F.lit("SYMBOL_NOT_FOUND")), rest)
     if tier == "auto":
         trace = rest.where("requires_parser AND tool = 'trace_path'")
-        rest = settle(_rows(trace, "miss", "trace", "codedb", miss_code=F.lit("SYMBOL_NOT_FOUND")), rest)
-        rest = settle(_rows(rest.where("told"), "miss", "narrative", "capn", miss_code=F.lit("NO_CHARTED_MEMORY")), rest)
+        rest = settle(_rows(trace, "miss", "trace", "structure", miss_code=F.lit("SYMBOL_NOT_FOUND")), rest)
+        rest = settle(_rows(rest.where("told"), "miss", "narrative", "memory", miss_code=F.lit("NO_CHARTED_MEMORY")), rest)
     if tier in ("auto", "fuzzy"):
         rest = settle(_rows(_fuzzy(rest, "plain", syms), soft, "fuzzy_plain", "fuzzy-lexical", name=F.col("name"), path=F.col("path"), line=F.col("line"), score=F.col("confidence")), rest)
     code = "JUNCTION_EXHAUSTED" if tier == "auto" else "SYMBOL_NOT_FOUND"

@@ -108,7 +108,7 @@ def store_config(spark: SparkSession, path: str) -> bool | None:
     try:
         got = json.loads(raw)
     except ValueError:
-        raise ValueError("CAPN_CONFIG_CORRUPT") from None
+        raise ValueError("STORE_CONFIG_CORRUPT") from None
     return not (isinstance(got, dict) and got.get("embedding") is False)
 
 

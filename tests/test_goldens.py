@@ -27,11 +27,11 @@ def test_cascade(spark):
     want = {"sample.ts": ("basename", "src/sample.ts"), ".gitignore": ("exact", ".gitignore"), "Dockerfile": ("exact", "Dockerfile"), "src/auth/utils.ts": ("exact", "src/auth/utils.ts"), "auth/utils.ts": ("suffix", "src/auth/utils.ts"), "utils.ts": (None, None), "th/ut": ("substring", "src/auth/utils.ts"), "x": (None, None), "foo/sample.ts": ("basename", "src/sample.ts")}
     got = {r.question: (r.kind, r.file) for r in paths.cascade(asked(spark, list(want)), f).collect()}
     assert got == want
-    f = files_of(spark, ["README.md", "packages/ui/README.md", "src/foo.ts", "src/Foo.ts", "src/mcp/capnIndex.ts", "src/mcp/server.ts"])
+    f = files_of(spark, ["README.md", "packages/ui/README.md", "src/foo.ts", "src/Foo.ts", "src/mcp/docIndex.ts", "src/mcp/server.ts"])
     got = {r.question: (r.kind, r.n_files, r.file) for r in paths.cascade(asked(spark, ["README.md", "./README.md", "src/Foo.ts", "SRC/FOO.ts"]), f).collect()}
     assert got == {"README.md": (None, 0, None), "./README.md": ("exact", 1, "README.md"), "src/Foo.ts": ("exact", 1, "src/Foo.ts"), "SRC/FOO.ts": ("exact", 2, "src/foo.ts")}
     hit = paths.collisions(asked(spark, ["mcp"]), f).collect()
-    assert [(r.miss_code, r.kind, r.candidates) for r in hit] == [("AMBIGUOUS_PATH_COLLISION", "substring", "src/mcp/capnIndex.ts,src/mcp/server.ts")]
+    assert [(r.miss_code, r.kind, r.candidates) for r in hit] == [("AMBIGUOUS_PATH_COLLISION", "substring", "src/mcp/docIndex.ts,src/mcp/server.ts")]
 
 
 def test_normalized_paths(spark):
@@ -179,7 +179,7 @@ def test_session_stats(spark, tmp_path):
 
 
 def test_evaluation(spark):
-    rows = [("hit", "hit", True), ("codedb", "symbol", True), ("x", None, True), ("x", "y", False)]
+    rows = [("hit", "hit", True), ("structure", "symbol", True), ("x", None, True), ("x", "y", False)]
     df = spark.createDataFrame(rows, "a string, e string, w boolean")
     assert all(r.got == r.w for r in df.select("w", evaluate.routing_matches(F.col("a"), F.col("e")).alias("got")).collect())
     sets = spark.createDataFrame([(["a", "b"], ["a"], True), (["a"], ["a", "c"], False), ([], None, True)], "a array<string>, e array<string>, w boolean")
