@@ -93,18 +93,20 @@ def resolve(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
     calls: call_id, callee, receiver (null, `new`, `this` or a name), path, owner (the caller's class, or null).
     """
-    s = symbols.select(F.col("name").alias("callee"), F.col("qualified"), F.col("kind"), F.col("path").alias("def_path"), F.col("line").alias("def_line"))
-    s = s.where(F.col("kind").isin(*CALLABLE, "class"))
-    hit = calls.join(s, "callee").where(F.col("kind").isin(CALLABLE) | (F.col("receiver") == "new"))
-    new, bare, this = F.col("receiver") == "new", F.col("receiver").isNull(), F.col("receiver") == "this"
-    rule = (
-        F.when(new, F.when(F.col("kind") == "class", 1))
-        .when(bare, F.when(F.col("kind") == "function", F.when(F.col("def_path") == F.col("path"), 1).otherwise(2)))
-        .when(this, F.when(F.col("qualified") == F.concat("owner", F.lit("."), "callee"), 1))
-        .otherwise(F.when(F.col("qualified") == F.concat("receiver", F.lit("."), "callee"), 1).when(F.col("kind") == "method", 2))
-    )
-    hit = hit.withColumn("rule", rule).where("rule IS NOT NULL")
-    w = Window.partitionBy("call_id")
-    hit = hit.withColumn("_least", F.min("rule").over(w)).withColumn("_functions", F.sum(F.when(F.col("kind") == "function", 1).otherwise(0)).over(w)).withColumn("_methods", F.sum(F.when(F.col("kind") == "method", 1).otherwise(0)).over(w))
-    sure = (F.col("rule") == 1) | ((F.col("_least") == 2) & F.when(bare, F.col("_functions") == 1).otherwise(F.col("_methods") == 1))
-    return hit.where(sure).select("call_id", "qualified", "def_path", "def_line")
+    s = symbols.select(F.col("name").alias("callee"), "qualified", "kind", F.col("path").alias("def_path"), F.col("line").alias("def_line"))
+    out = ["call_id", "qualified", "def_path", "def_line"]
+    free, classes = s.where(F.col("kind").isin(CALLABLE)), s.where("kind = 'class'")
+    functions, methods = free.where("kind = 'function'"), free.where("kind = 'method'")
+    only = lambda d: d.groupBy("callee").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in out[1:]]).where("n = 1").drop("n")
+    c = calls.select("call_id", "callee", "receiver", "path", "owner")
+    new = c.where("receiver = 'new'").join(classes, "callee").select(*out)
+    # a bare name: the file's own functions, else the only function of that name
+    bare, local = c.where("receiver IS NULL"), functions.withColumnRenamed("def_path", "path")
+    here = bare.join(local, ["callee", "path"]).select("call_id", "qualified", F.col("path").alias("def_path"), "def_line")
+    there = bare.join(local.select("callee", "path").distinct(), ["callee", "path"], "left_anti").join(only(functions), "callee").select(*out)
+    # this: the own class's; a receiver: its qualified name, else the only method of that name
+    named = c.where("receiver IS NOT NULL AND receiver != 'new'").withColumn("want", F.concat(F.when(F.col("receiver") == "this", F.col("owner")).otherwise(F.col("receiver")), F.lit("."), "callee"))
+    by_name = free.withColumnRenamed("qualified", "want")
+    exact = named.join(by_name, ["want", "callee"]).select("call_id", F.col("want").alias("qualified"), "def_path", "def_line")
+    loose = named.where("receiver != 'this'").join(by_name.select("want", "callee").distinct(), ["want", "callee"], "left_anti").join(only(methods), "callee").select(*out)
+    return new.unionByName(here).unionByName(there).unionByName(exact).unionByName(loose)
