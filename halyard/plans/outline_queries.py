@@ -19,7 +19,7 @@ def _line_symbols(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def outline_filter(spark: SparkSession, folder: str) -> DataFrame:
-    ln = C.lines(spark, folder).select("path", "line", F.substring("text", 1, 40).alias("name"))
+    ln = C.lines(spark, folder).select("path", "line", F.col("text").alias("name"))
     terms = F.split(F.regexp_replace("path", "/.*", ""), "src")
     return O.by_name(ln, "ENT").where(O.any_term(F.col("name"), F.array_append(F.filter(terms, lambda t: t != ""), F.lit("tion")))).select("path", "line", "name")
 

@@ -19,3 +19,15 @@ def test_flat_graph_has_all_edges(spark, small):
     rows = catalog.QUERIES["render_flat_graph"](spark, small).collect()
     assert len(rows) == len(want) and {r.node: r.text for r in rows} == want
     assert any(n.startswith("customer:") for n in want) and any(n.startswith("order:") for n in want)
+
+
+def test_outline_filter_reads_whole_lines(spark, small):
+    want = []
+    for r in C.lines(spark, small).where("text IS NOT NULL").collect():
+        terms = [t for t in r.path.split("/")[0].split("src") if t] + ["tion"]
+        low = r.text.lower()
+        if "ent" in low and any(t.lower() in low for t in terms):
+            want.append((r.path, r.line, r.text))
+    got = [(r.path, r.line, r.name) for r in catalog.QUERIES["outline_filter"](spark, small).collect()]
+    assert sorted(got) == sorted(want)
+    assert any("ent" not in t[:40].lower() for _, _, t in want)
