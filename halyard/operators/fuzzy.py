@@ -1,13 +1,15 @@
 """Fuzzy ranking of symbols for tokens: scores first, matched ranges for the few that remain.
 
 Names are scored once each, whatever the number of symbols that bear them. Tokens come in stated blocks of bounded size,
-each block against all names; the cheap subsequence test goes before the score.
+each block against all names; a test on character counts that no subsequence fails goes first, then the cheap
+subsequence test, then the score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +22,30 @@ from halyard.functions.text import dirname
 THRESHOLD, TOP, BLOCK = 60, 5, 2000
 
 
-def _score(tokens: list[str], threshold: int):
-    wanted = [(t, fuzzy.lowered(t), len(fuzzy.units(t))) for t in tokens]
+def _counts(text: str) -> np.ndarray:
+    """How often the characters of each class (code modulo 64) occur, 255 at most."""
+    data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") & np.uint32(63)
+    return np.bincount(data, minlength=64).clip(max=255).astype(np.uint8)
+
+
+def _mask(counts: np.ndarray) -> np.ndarray:
+    """The classes that occur, a bit each."""
+    return np.packbits(counts > 0, axis=-1).view(np.uint64)[..., 0]
 
+
+def _score(tokens: list[str], threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = [(t, fuzzy.lowered(t), len(fuzzy.units(t))) for t in tokens]
+        counts = np.array([_counts(w) for _, w, _ in wanted], np.uint8).reshape(-1, 64)
+        masks = _mask(counts)
         for b in batches:
             rows = []
             for name in b.column(0).to_pylist():
                 low = fuzzy.lowered(name)
-                for t, want, n in wanted:
+                own = _counts(low)
+                fit = np.flatnonzero(masks & ~_mask(own) == 0)
+                for k in fit[(counts[fit] <= own).all(1)].tolist():
+                    t, want, n = wanted[k]
                     if fuzzy.is_subsequence(want, low):
                         raw = fuzzy.score(t, name)
                         if raw >= 0 and fuzzy.confidence(raw + 20, n) >= threshold:

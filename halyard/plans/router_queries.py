@@ -10,16 +10,16 @@ from halyard.sources import corpus as C
 
 
 def fuzzy_rank(spark: SparkSession, folder: str) -> DataFrame:
-    syms = C.symbols(spark, folder).where("tier = 'primary'")
+    syms = C.symbols(spark, folder)
     names = syms.select("name").distinct()
     forms = F.array(F.col("name"), F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)")), F.replace("name", F.lit("_"), F.lit("")), F.lower("name"))
     return fuzzy.rank(names.select(F.explode(forms).alias("token")), syms)
 
 
 def batch(spark: SparkSession, folder: str) -> DataFrame:
-    """qid, question: user turns, templates over primary symbols, paths, and notes' own questions."""
+    """qid, question: user turns, templates over symbols of both tiers, paths, and notes' own questions."""
     conv = C.table(spark, folder, "conversations").where("role = 'user'").select(F.concat_ws(":", F.lit("c"), "conv_id", "turn").alias("qid"), F.regexp_replace("text", r"\s+", " ").alias("question"))
-    names = C.symbols(spark, folder).where("tier = 'primary'").select("name", "qualified").distinct()
+    names = C.symbols(spark, folder).select("name", "qualified").distinct()
     forms = ["Who calls {}?", "Where is {} declared?", "How does {} work?", "is there a {}x in it", "lookup"]
     parts = F.array(*[F.regexp_replace(F.lit(f), r"\{\}", F.col("qualified")) for f in forms])
     made = names.select("qualified", F.posexplode(parts).alias("k", "question")).select(F.concat_ws(":", F.lit("s"), "qualified", "k").alias("qid"), "question").distinct()

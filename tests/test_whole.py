@@ -2,7 +2,8 @@
 
 from collections import defaultdict
 
-from halyard.plans import catalog
+from halyard.functions import fuzzy
+from halyard.plans import catalog, router_queries
 from halyard.sources import corpus as C
 
 
@@ -31,3 +32,21 @@ def test_outline_filter_reads_whole_lines(spark, small):
     got = [(r.path, r.line, r.name) for r in catalog.QUERIES["outline_filter"](spark, small).collect()]
     assert sorted(got) == sorted(want)
     assert any("ent" not in t[:40].lower() for _, _, t in want)
+
+
+def test_fuzzy_rank_over_both_tiers(spark, small):
+    syms = [(r.name, r.path, r.line, r.kind) for r in C.symbols(spark, small).collect()]
+    names = {s[0] for s in syms}
+    tokens = {f for n in names for f in (n, n[:3] + n[4:], n.replace("_", ""), n.lower())} - {""}
+    want = set()
+    for t in tokens:
+        score = {n: fuzzy.confidence(fuzzy.score(t, n), len(t)) for n in names if fuzzy.is_subsequence(t.lower(), n.lower())}
+        best = sorted((-score[n], len(n), p, ln, n, k) for n, p, ln, k in syms if score.get(n, 0) >= 60)[:5]
+        want |= {(t, i, n, p, ln, k, -c) for i, (c, _, p, ln, n, k) in enumerate(best, 1)}
+    got = {tuple(r)[:7] for r in catalog.QUERIES["fuzzy_rank"](spark, small).collect()}
+    assert got == want and any(".mjs" in w[3] for w in want)
+
+
+def test_route_batch_asks_of_both_tiers(spark, small):
+    asked = {r.qid for r in router_queries.batch(spark, small).where("qid LIKE 's:%'").collect()}
+    assert asked == {f"s:{r.qualified}:{k}" for r in C.symbols(spark, small).select("qualified").distinct().collect() for k in range(5)}
