@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import invindex, mixing, simhash, tokens, toxicity
-from halyard.llm.common import shared_path, ship, table
+from halyard.llm.common import shared_path, ship, table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.train(docs, labels, toxicity.allowed()))
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """_key (unique) and _doc (the row as it is); written, so that a row's key stays whatever is computed again."""
+    return written(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: a row of the smallest doc_id; rows without an id stay."""
     ship(spark)
@@ -36,11 +41,12 @@ def once(docs: DataFrame) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Rows in whose text no benchmark window occurs, whatever their doc_id."""
     ship(spark)
-    found = invindex.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    rows = keyed(docs, "decontaminate-rows")
+    found = invindex.decontaminate(rows.select("_key", F.col("_doc.text").alias("text")), table(spark, sf_dir, "benchmark"), doc_id="_key")
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_key"))
+    return rows.join(bad, "_key", "left_anti").select("_doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
