@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import invindex, mixing, simhash, tokens, toxicity
-from halyard.llm.common import shared_path, ship, table, written
+from halyard.llm.common import shared_path, ship, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,26 +18,20 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
     """_key (unique) and _doc (the row as it is); written, so that a row's key stays whatever is computed again."""
-    return written(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), name)
+    rows = docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    path = shared_path(docs.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: a row of the smallest doc_id; rows without an id stay."""
+    """One row of each SimHash component: of the smallest doc_id, rows without an id last; of equals any one."""
     ship(spark)
-    found = simhash.near_duplicates(docs)
-    drop = found.where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["_id"], "left_anti")
-    return once(kept)
-
-
-def once(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id; rows without an id stay."""
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    if not again.limit(1).count():
-        return docs
-    rows = docs.join(again, docs["doc_id"] == again["_id"], "left_anti")
-    rest = docs.join(again, docs["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(rest)
+    rows = keyed(docs, "simhash-rows")
+    found = simhash.near_duplicates(rows.select("_key", F.col("_doc.text").alias("text")), doc_id="_key")
+    found = found.select(F.col("doc_id").alias("_key"), "component_id").join(rows.select("_key", F.col("_doc.doc_id").alias("doc_id")), "_key")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best"))
+    return rows.join(best.select(F.col("best._key").alias("_key")), "_key", "left_semi").select("_doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

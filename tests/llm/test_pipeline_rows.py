@@ -17,3 +17,11 @@ def test_decontaminate_by_row(spark, make, small):
     out = corpus_pipeline.decontaminate(spark, docs, small)
     assert out.columns == docs.columns
     assert kept(out) == sorted([(None, "a clean text"), (9, "another clean text"), (4, "one more"), (None, None)], key=str)
+
+
+def test_near_duplicates_by_row(spark, make, small):
+    a, b, c, d = map(words, (7, 11, 13, 17))
+    docs = make([(5, a, "en", "s"), (5, b, "en", "s"), (3, b, "en", "s"), (7, a, "en", "s"), (None, c, "en", "s"), (None, c, "en", "s"), (None, d, "en", "s"), (8, d, "en", "s")])
+    out = corpus_pipeline.near_duplicates(spark, docs, small)
+    assert out.columns == docs.columns
+    assert kept(out) == sorted([(5, a), (3, b), (None, c), (8, d)], key=str)
