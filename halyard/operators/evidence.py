@@ -44,10 +44,10 @@ def code_lines(lines: DataFrame) -> DataFrame:
 def evidence(lines: DataFrame, facets: DataFrame) -> DataFrame:
     """facet, path, line, excerpt, hits, score: lines that name a keyword (as a prefix of a word) or export a declaration.
 
-    facets: facet, keywords (array): a short fixed list. Repeated excerpts of a file count once, at their first line.
+    facets: facet, keywords (array): a list that fits in a task, all of it counts. Repeated excerpts of a file count once, at their first line.
     """
     x = code_lines(lines).withColumn("words", line_words(code_only(F.col("t"))))
-    x = x.join(F.broadcast(facets.limit(100)))
+    x = x.join(F.broadcast(facets))
     hits = F.size(F.filter("keywords", lambda k: F.exists("words", lambda w: F.startswith(w, k))))
     exported = F.col("text").rlike(EXPORTED)
     x = x.withColumn("hits", hits).where((F.col("hits") > 0) | exported).withColumn("excerpt", F.substring("t", 1, EXCERPT))

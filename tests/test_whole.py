@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 from halyard.functions import fuzzy
+from halyard.operators import evaluate, evidence
 from halyard.plans import catalog, router_queries
 from halyard.sources import corpus as C
 
@@ -50,3 +51,12 @@ def test_fuzzy_rank_over_both_tiers(spark, small):
 def test_route_batch_asks_of_both_tiers(spark, small):
     asked = {r.qid for r in router_queries.batch(spark, small).where("qid LIKE 's:%'").collect()}
     assert asked == {f"s:{r.qualified}:{k}" for r in C.symbols(spark, small).select("qualified").distinct().collect() for k in range(5)}
+
+
+def test_long_lists_count_in_full(spark):
+    lines = spark.createDataFrame([("a.ts", 1, "only word here")], "path string, line int, text string")
+    asked = spark.createDataFrame([(f"q{i}",) for i in range(1500)] + [("word",)], "query string").coalesce(1)
+    got = {r.query: r.total_matches for r in evaluate.baseline(lines, asked).collect()}
+    assert len(got) == 1501 and got["word"] == 1 and sum(got.values()) == 1
+    facets = spark.createDataFrame([(f"f{i}", ["zzz"]) for i in range(150)] + [("last", ["word"])], "facet string, keywords array<string>").coalesce(1)
+    assert [r.facet for r in evidence.evidence(lines, facets).collect()] == ["last"]
