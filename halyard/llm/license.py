@@ -78,13 +78,13 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     of = {r.digest: r.license for r in table_.collect()}
     lookup = F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_t"))
-    line = F.transform(F.filter(F.split(F.translate("_t", "\r", "\n"), "\n"), lambda x: (F.length(x) <= MOST) & (F.length(x) > 0)), lambda x: F.element_at(lookup, digest(x)))
+    line = F.transform(F.filter(F.split(F.translate("_t", "\r", "\n"), "\n"), lambda x: F.length(x) > 0), lambda x: F.element_at(lookup, digest(x)))
     rows = rows.select("doc_id", digest(F.col("_t")).alias("digest"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(line)), ","), F.lit("")).alias("notices"))
     hit = F.broadcast(table_.select(F.col("digest").alias("_d"), "license"))
     return rows.join(hit, rows["digest"] == hit["_d"], "left").select("doc_id", "digest", "license", "notices")
 
 
-#: No known one-line notice is longer than this, whatever is around it; a longer line can't be one.
+#: The SQL looks up lines up to this length only; the query looks up every line.
 MOST = 4096
 
 
