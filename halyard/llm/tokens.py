@@ -8,12 +8,13 @@ allows, else in 32.
 
 Files get names of their own in each attempt of a task; the manifest, committed by Spark, names those that count.
 
-The tokenizer sees each distinct piece once: a text may be cut before a single space or line feed between two characters
-that aren't white space, as no match of the pre-tokenizer's pattern goes on over such a place nor looks back over it.
+The tokenizer sees each distinct piece about once: a text may be cut before a single space or line feed between two
+characters that aren't white space, as no match of the pre-tokenizer's pattern goes on over such a place nor looks back
+over it. Texts that hold the string of an added token go to the tokenizer whole, which gives that token's id
+(`special_as_text`: such strings are ordinary text instead).
 
 Cases: null text is the empty text, which has the end id only; ids sort ascending, nulls last, repeated ids by a hash of
-their text; strings of special tokens in a text are ordinary text; an empty table gives no shard; other columns are
-ignored.
+their text; very long texts are whole, one at a time; an empty table gives no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.common import open_fs, shared_path, table, written
 
-SEQUENCE, ROWS, END, MOST_PIECES, SHORT = 2048, 512, 2, 600_000, 9
-RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-RARE_ASCII = [c for c in RARE if c.isascii()]
+SEQUENCE, ROWS, END, MOST_PIECES, CHUNK = 2048, 512, 2, 800_000, 8 << 20
+HEAD, MARK = "\0", "\1"
+#: White space but " \n\t\r", and the two signs above: texts that hold them are cut by CUT.
+RARE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if (c.isspace() and c not in " \n\t\r") or c in HEAD + MARK) + "]"
+#: Texts whose white space isn't all single spaces and line feeds between other characters.
+ODD = r"^\z|^[ \n]|[ \n][ \n]|[ \n]\z|[\t\r]"
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Letters, and punctuation behind them, that are pieces of their own to the pre-tokenizer.
+LETTERS, MARKS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+", r"[!-/:-@\[-`{-~]+"
+FULL = r"[^\s\pZ\x00\x0b\x1c-\x1f\x{85}]"
 
 
 def default_vocabulary() -> str:
@@ -44,96 +52,145 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def plain(text: str) -> bool:
-    """True where white space is single spaces and line feeds, none of them at an end or next to another."""
-    return not (
-        "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
-        or any(c in text for c in RARE_ASCII) or (not text.isascii() and any(c in text for c in RARE))
-    ) and text != ""
+def lists_of(ids: np.ndarray, counts: np.ndarray) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64()), pa.array(ids))
+
+
+def lead(sign: str, texts: pa.Array) -> pa.Array:
+    """The texts with a sign before each."""
+    return pc.binary_join_element_wise(pa.scalar(sign, pa.large_string()), texts, pa.scalar("", pa.large_string()))
+
+
+def key_of(piece: str) -> str:
+    if piece[1:2].strip() and piece[1] != HEAD:
+        return piece[1:] if piece[0] == " " else piece if piece[0] == "\n" else HEAD + piece
+    return HEAD + piece
 
 
 class Encoder:
-    """Texts to ids, as bytes of `dtype`, with a bounded memory of pieces."""
+    """Texts to ids, with a bounded memory of pieces: `keys`, their `ids`, and the turn when each was last `used`.
 
-    def __init__(self, vocabulary: str) -> None:
+    A piece's key is the piece without its leading space; with it where that is a line feed; and behind HEAD where the
+    piece begins with something else, as a text's first does.
+    """
+
+    def __init__(self, vocabulary: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Known({"": b""})
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # a byte-level token has a character a byte
         self.width[list(vocab.values())] = [len(t) for t in vocab]
+        self.keys, self.ids = pa.array([HEAD], pa.large_string()), lists_of(np.zeros(0, self.dtype), np.zeros(1, np.int64))
+        self.used, self.turn = np.zeros(1, np.int32), 0
 
-    def learn(self, pieces: list[str]) -> list[bytes]:
+    def runs(self, pieces: pa.Array) -> pa.LargeListArray:
         """The ids of pieces that each begin with one space or line feed before other characters: many go to a text,
         which is cut again where the tokens' widths add up to the pieces'."""
-        if not pieces:
-            return []
-        runs = ["".join(pieces[k : k + 256]) for k in range(0, len(pieces), 256)]
-        ids = np.array([i for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], self.dtype)
-        ends = np.cumsum(self.width[ids])
-        want = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
+        n = len(pieces)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array([*range(0, n, 256), n], pa.int32()), pieces), pa.scalar("", pa.large_string())).to_pylist() if n else []
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], self.dtype)
+        ends, want = np.cumsum(self.width[ids]), np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))
         at = np.searchsorted(ends, want) + 1
-        if not np.array_equal(ends[at - 1], want):
+        if n and not np.array_equal(ends[at - 1], want):
             raise ValueError("tokens don't end where pieces do")
-        data, cuts = ids.tobytes(), (at * self.dtype.itemsize).tolist()
-        return [data[lo:hi] for lo, hi in zip([0, *cuts], cuts)]
-
-    def whole(self, texts: list[str]) -> dict[str, bytes]:
-        each = list(dict.fromkeys(texts))
-        return {t: np.array(e.ids, self.dtype).tobytes() for t, e in zip(each, self.tokenizer.encode_batch_fast(each, add_special_tokens=False))}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts. `known` has a word's ids behind a space, and those of a line feed with a word."""
-        known = self.known
-        if len(known) > MOST_PIECES:
-            short = {p: b for p, b in known.items() if len(p) <= SHORT}  # short pieces come back soon
-            known.clear()
-            known.update(short if len(short) <= MOST_PIECES // 2 else {"": b""})
-        known.new = []
-        even = [k for k, t in enumerate(texts) if plain(t)]
-        cut, heads, parts, lacking = [], [], [], []
-        get = known.__getitem__
-        for k in even:
-            c = texts[k].replace("\n", " \n").split(" ")
-            heads.append(c[0])
-            c[0] = ""
-            n = len(known.new)
-            parts.append(list(map(get, c)))
-            cut.append(c)
-            lacking.append(len(known.new) > n)
-        new = list(dict.fromkeys(known.new))
-        known.update(zip(new, self.learn([p if p[0] == "\n" else " " + p for p in new])))
-        other = {k: CUT.split(texts[k]) for k in sorted(set(range(len(texts))).difference(even))}
-        apart = self.whole(heads + [p for c in other.values() for p in c])
-        out = [b""] * len(texts)
-        for k, head, c, x, more in zip(even, heads, cut, parts, lacking):
-            out[k] = apart[head] + b"".join([known[p] if b is None else b for p, b in zip(c, x)] if more else x)
-        for k, c in other.items():
-            out[k] = b"".join([apart[p] for p in c])
-        return out
-
-
-class Known(dict):
-    """Ids by piece; pieces that aren't there are noted in `new`."""
-
-    new: list[str]
-
-    def __missing__(self, piece: str) -> None:
-        self.new.append(piece)
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(vocabulary: str) -> Encoder:
+        return lists_of(ids, np.diff(at, prepend=0))
+
+    def whole(self, texts: list[str]) -> pa.LargeListArray:
+        got = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return lists_of(np.concatenate([np.zeros(0, self.dtype), *got]), np.array([len(g) for g in got], np.int64))
+
+    def learn(self, keys: pa.Array) -> None:
+        """Add distinct new keys; the pieces that used to be asked for last make room."""
+        if len(self.keys) > MOST_PIECES:
+            least = np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+            stay = pa.array(np.flatnonzero((self.used > least) | (self.used == self.turn) | (np.arange(len(self.used)) == 0)))
+            self.keys, self.ids, self.used = self.keys.take(stay), self.ids.take(stay), self.used[stay.to_numpy()]
+        joins = pc.match_substring_regex(keys, f"(?s)^\\n?{FULL}(.*{FULL})?\\z")
+        run, apart = keys.filter(joins), keys.filter(pc.invert(joins))
+        found = [self.runs(pc.if_else(pc.starts_with(run, "\n"), run, lead(" ", run))), self.whole([k[1:] if k[0] == HEAD else k if k[0] == "\n" else " " + k for k in apart.to_pylist()])]
+        self.keys, self.ids = pa.concat_arrays([self.keys, run, apart]), pa.concat_arrays([self.ids, *found])
+        self.used = np.concatenate([self.used, np.full(len(keys), self.turn, np.int32)])
+
+    def places(self, keys: pa.Array) -> np.ndarray:
+        """Where keys are in `self.keys`; new ones are learnt."""
+        at = pc.index_in(keys, self.keys)
+        if at.null_count:
+            self.used[at.drop_null().to_numpy()] = self.turn
+            self.learn(pc.unique(keys.filter(pc.is_null(at))))
+            at = pc.index_in(keys, self.keys)
+        got = at.to_numpy()
+        self.used[got] = self.turn
+        return got
+
+    def gathered(self, keys: pa.Array) -> pa.LargeListArray:
+        """The ids of keys, each distinct one looked up once, and words apart from the punctuation behind them."""
+        self.turn += 1
+        coded = keys.dictionary_encode()
+        each = coded.dictionary
+        ended = pc.match_substring_regex(each, f"^{LETTERS}{MARKS}\\z")
+        mine = each.filter(ended)
+        stems = pc.replace_with_mask(each, ended, pc.replace_substring_regex(mine, MARKS + r"\z", ""))
+        tails = lead(HEAD, pc.replace_substring_regex(mine, "^" + LETTERS, ""))
+        at = self.places(pa.concat_arrays([stems, tails]))
+        pairs = np.zeros((len(each), 2), np.int64)  # place 0 has no ids
+        pairs[:, 0] = at[: len(each)]
+        pairs[ended.to_numpy(zero_copy_only=False), 1] = at[len(each) :]
+        both = self.ids.take(pa.array(pairs.ravel()))
+        return pa.LargeListArray.from_arrays(pa.array(both.offsets.to_numpy()[::2]), both.values).take(coded.indices)
+
+    def encode(self, texts: pa.Array) -> pa.LargeListArray:
+        """The ids of each text; nulls are empty texts."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = np.zeros(len(texts), bool)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        rare, odd = (pc.match_substring_regex(texts, p).to_numpy(zero_copy_only=False) for p in (RARE, ODD))
+        kind = np.where(whole, 3, np.where(rare, 2, np.where(odd, 1, 0)))
+        parts, order = [], []
+        for k in np.unique(kind).tolist():
+            at = np.flatnonzero(kind == k)
+            order.append(at)
+            part = texts if len(at) == len(texts) else texts.take(pa.array(at))
+            if k == 3:
+                parts.append(self.whole(part.to_pylist()))
+                continue
+            if k == 2:
+                cut = [[*map(key_of, filter(None, CUT.split(t)))] or [HEAD] for t in part.to_pylist()]
+                keys, offsets = pa.array([p for c in cut for p in c], pa.large_string()), np.cumsum([0, *map(len, cut)])
+            else:
+                part = lead(HEAD, part)
+                if k == 1:
+                    for between, to in ((" ", MARK), ("\n", MARK + "\n")):
+                        for _ in range(2):  # a match takes the character that the next would begin with
+                            part = pc.replace_substring_regex(part, rf"([^ \n\t\r\x00\x01]){between}([^ \n\t\r])", rf"\1{to}\2")
+                    cut = pc.split_pattern(part, MARK)
+                else:
+                    cut = pc.split_pattern(pc.replace_substring(part, "\n", " \n"), " ")
+                offsets = cut.offsets.to_numpy()
+                keys, offsets = cut.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
+            got = self.gathered(keys)
+            parts.append(pa.LargeListArray.from_arrays(pa.array(got.offsets.to_numpy()[offsets], pa.int64()), got.values))
+        if not parts:
+            return lists_of(np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        if len(parts) == 1:
+            return parts[0]
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order))))
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(vocabulary: str, special_as_text: bool = False) -> Encoder:
     """One encoder for all tasks of a worker."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    key = (vocabulary, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 class ShardWriter:
@@ -148,13 +205,17 @@ class ShardWriter:
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.open = bytearray()
         self.total = 0
-        self.docs: list[tuple] = []
-
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        n = len(ids) // self.dtype.itemsize
-        self.docs.append((doc_id, self.total, n))
-        self.total += n
-        self.open += ids
+        self.docs: list[pa.RecordBatch] = []
+
+    def add(self, doc_ids: pa.Array, lists: pa.LargeListArray, end: int | None) -> None:
+        """Documents by the lists of their ids; each gets the end id."""
+        ids, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        if end is not None:
+            ids, ends = np.insert(ids, ends[1:], end), ends + np.arange(len(ends))
+        counts, starts = np.diff(ends), self.total + ends[:-1]
+        self.docs.append(pa.record_batch([doc_ids, pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "start", "n_tokens"]))
+        self.total += len(ids)
+        self.open += ids.tobytes()
         step = self.length * ROWS * self.dtype.itemsize
         at = 0
         while len(self.open) - at >= step:
@@ -173,9 +234,9 @@ class ShardWriter:
             self._write(bytes(self.open) + b"\0" * (-real % self.length * self.dtype.itemsize), real)
         self.file.close()
         self.sink.close()
-        docs = pa.record_batch([pa.array([d[0] for d in self.docs], pa.int64()), pa.array([d[1] for d in self.docs], pa.int64()), pa.array([d[2] for d in self.docs], pa.int64())], ["doc_id", "start", "n_tokens"])
-        with self.fs.open_output_stream(self.path + ".docs.arrow", compression=None) as sink, pa.ipc.new_file(sink, docs.schema) as f:
-            f.write_batch(docs)
+        with self.fs.open_output_stream(self.path + ".docs.arrow", compression=None) as sink, pa.ipc.new_file(sink, self.docs[0].schema) as f:
+            for b in self.docs:
+                f.write_batch(b)
 
 
 class ShardReader:
@@ -210,17 +271,27 @@ class ShardReader:
         return got.column(0)[r].values.to_numpy(), got.column(1)[r].values.to_numpy(zero_copy_only=False)
 
 
-def _writer(folder: str, vocabulary: str, end: int | None, length: int):
+def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """(from, number) of rows that have about `most` bytes of text, a longer text by itself."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > lo and held + n > most:
+            yield lo, k - lo
+            lo, held = k, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes) - lo
+
+
+def _writer(folder: str, vocabulary: str, end: int | None, length: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        tail = b"" if end is None else np.array([end], enc.dtype).tobytes()
+        enc = encoder(vocabulary, special_as_text)
         out: ShardWriter | None = None
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo, n in chunks(b.column(1)):
                 out = out or ShardWriter(folder, enc.dtype, length)
-                for d, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()])):
-                    out.add(d, ids + tail)
+                out.add(b.column(0).slice(lo, n), enc.encode(b.column(1).slice(lo, n)), end)
         if out:
             out.close()
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.name]), pa.array([out.total], pa.int64())], ["part", "shard", "n"])
@@ -228,12 +299,12 @@ def _writer(folder: str, vocabulary: str, end: int | None, length: int):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int | None = END, length: int = SEQUENCE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int | None = END, length: int = SEQUENCE, text: str = "text", doc_id: str = "doc_id", special_as_text: bool = False) -> DataFrame:
     """Write the shards to `folder`; returns the manifest: shard, base (ids in the shards before it)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     key = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
     rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-    shards = written(rows.mapInArrow(_writer(folder, vocabulary or default_vocabulary(), end, length), "part int, shard string, n long"), "token-manifest")
+    shards = written(rows.mapInArrow(_writer(folder, vocabulary or default_vocabulary(), end, length, special_as_text), "part int, shard string, n long"), "token-manifest")
     base, rows = 0, []
     for r in sorted(shards.collect()):  # one row a partition
         rows.append((r.shard, base))
