@@ -10,7 +10,8 @@ lines and reads the records by range. Reading everything back goes through the i
 
 Files get names of their own in each attempt of a task; the manifests that Spark commits name those that count.
 
-Cases: null html is the empty payload; rows that share the response's page_id are responses too (repeated rows stay
+Cases: null html is the empty payload; payloads may be of any size, one at a time is in memory; URLs may hold any
+character, line separators too; rows that share the response's page_id are responses too (repeated rows stay
 rows); null ids sort last and are given back as null; a null url has no target header and the empty key; an empty table
 gives no files and no rows; other columns are ignored.
 """
@@ -195,7 +196,7 @@ class IndexFile:
     def __init__(self, folder: str, name: str) -> None:
         fs, at = open_fs(folder)
         with fs.open_input_file(f"{at}/{name}.dir") as f:
-            rows = [x.split("\t") for x in f.read().decode("utf-8", "surrogatepass").splitlines()]
+            rows = [x.split("\t") for x in f.read().decode("utf-8", "surrogatepass").split("\n")[:-1]]
         self.keys, self.places = [r[0] for r in rows], [(int(r[1]), int(r[2])) for r in rows]
         self.file = fs.open_input_file(f"{at}/{name}")
 

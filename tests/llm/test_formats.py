@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from halyard.llm import tokens, warc, webp
@@ -15,7 +16,6 @@ def test_tokens(odd, ship, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     folder = str(tmp_path / "t")
     manifest = tokens.write_tokens(odd, folder, length=64)
     got = sorted(tokens.read_tokens(folder, manifest).collect(), key=lambda r: r.start)
@@ -33,15 +33,25 @@ def test_tokens(odd, ship, tmp_path):
     assert tokens.read_tokens(folder, tokens.write_tokens(odd.limit(0), folder)).count() == 0
 
 
-def test_pieces_are_whole_texts():
-    e = tokens.encoder(tokens.default_vocabulary())
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_pieces_are_whole_texts(special_as_text, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MOST_PIECES", 300)  # so that pieces are forgotten too
+    own = Tokenizer.from_file(tokens.default_vocabulary())
+    own.encode_special_tokens = special_as_text
+    e = tokens.Encoder(tokens.default_vocabulary(), special_as_text)
     r = random.Random(4)
-    texts = ["".join(r.choice(["a", "Bc", " ", "  ", "\n", "'s", ",", "1", "é", "　", "\x1c", "<|endoftext|>", "the ", "\t"]) for _ in range(r.randrange(40))) for _ in range(300)]
-    for t, got in zip(texts, e.encode(texts)):
-        assert np.frombuffer(got, e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    texts = ["".join(r.choice(["a", "Bc", " ", "  ", "\n", "'s", ",", "1", "é", "　", "\x1c", "<|endoftext|>", "the ", "\t"]) for _ in range(r.randrange(40))) for _ in range(3000)]
+    for signs in (["a", " ", "b", "\n", "é", "Word,", " it's", "\t", "\0", "\1", "."], ["a", " b", "\nc", " d.", " é!?", " 12", "\nx"]):
+        texts += ["".join(r.choice(signs) for _ in range(r.randrange(30))) for _ in range(2000)]
+    for lo in range(0, len(texts), 700):
+        for t, got in zip(texts[lo : lo + 700], e.encode(pa.array(texts[lo : lo + 700])).to_pylist()):
+            assert got == own.encode(t, add_special_tokens=False).ids, repr(t)
+    assert e.encode(pa.array([None, ""], pa.string())).to_pylist() == [[], []] and len(e.encode(pa.array([], pa.string()))) == 0
 
 
-PAGES = [(5, "http://www.Example.com/A?b=1", "same"), (3, "https://sub.example.com:8080/x y", "same"), (3, "https://sub.example.com:8080/x y", "same"), (9, None, "same"), (1, "http://a.org/", None), (2, "http://a.org/", ""), (4, "notaurl\t\r\n", "é\r\n\r\nü"), (None, "http://a.org/", "own"), (None, "http://a.org/", "same")]
+PAGES = [(5, "http://www.Example.com/A?b=1", "same"), (3, "https://sub.example.com:8080/x y", "same"), (3, "https://sub.example.com:8080/x y", "same"), (9, None, "same"), (1, "http://a.org/", None), (2, "http://a.org/", ""), (4, "notaurl\t\r\n", "é\r\n\r\nü"), (None, "http://a.org/", "own"), (None, "http://a.org/", "same"), (11, "http://a.com/x\u2028y", "l"), (12, "http://a.com/x\x85y", "m"), (13, "http://a.com/\x0b\x0c\x1c\x1d\x1ez", "n" * 300_000)]
 
 
 def test_archives(ship, tmp_path):
@@ -56,9 +66,9 @@ def test_archives(ship, tmp_path):
         refers = first if first is not None and first != page else None
         want.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if refers is None else "revisit", refers))
     assert got == sorted(map(str, want))
-    urls = ship.createDataFrame([("http://A.org/",), ("https://sub.example.com:8080/x y",), ("http://none.net",)], "url string")
+    urls = ship.createDataFrame([("http://A.org/",), ("https://sub.example.com:8080/x y",), ("http://none.net",), ("http://a.com/x\u2028y",)], "url string")
     found = warc.lookup(urls, i, manifest, a).collect()
-    assert sorted((r.url, r.page_id or -1) for r in found) == [("http://A.org/", -1), ("http://A.org/", -1), ("http://A.org/", 1), ("http://A.org/", 2), ("https://sub.example.com:8080/x y", 3), ("https://sub.example.com:8080/x y", 3)]
+    assert sorted((r.url, r.page_id or -1) for r in found) == [("http://A.org/", -1), ("http://A.org/", -1), ("http://A.org/", 1), ("http://A.org/", 2), ("http://a.com/x\u2028y", 11), ("https://sub.example.com:8080/x y", 3), ("https://sub.example.com:8080/x y", 3)]
     empty = warc.write_index(warc.write_archives(pages.limit(0), a), i)
     assert warc.read_archives(ship, i, empty, a).count() == 0
     assert all(r.record_type == "response" for r in warc.read_archives(ship, i, warc.write_index(warc.write_archives(pages, a, least=100), i), a).collect())
