@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,9 @@ from pyspark.sql import functions as F
 #: A key is hot when it has more rows than this and than a HOT_KEYS-th of all rows, so at most HOT_KEYS keys are hot.
 HOT_ROWS, HOT_KEYS, SALTS = 50_000, 10_000, 32
 
+#: Bytes of an Arrow batch of texts: each is in memory on both sides of a worker.
+BATCH = 8 << 20
+
 #: A-Z to a-z, all else as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: As LOWER, and every ASCII byte that is no letter or digit becomes a space.
@@ -74,8 +81,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that hands its free memory back at the end, as the worker stays for tasks of other stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a Spark context."""
+    """Send this package to the executors, once a Spark context; Arrow batches of BATCH bytes where none are set."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's own default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_halyard_shipped", False):
         return

@@ -9,7 +9,8 @@ rarest term's list is taken first, moved by that term's offset, and intersected
 The phrases come in blocks of bounded size, each of them matched against all segments.
 
 Cases: null and wordless texts have no words and no hits; items without words have no window; repeated rows stay rows
-(each is a document of its own); null ids are kept as they are; an empty table gives an empty result; other columns are
+(each is a document of its own); very long texts are a segment of their own; ties in rarity go to the first word; null
+ids are kept as they are; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import remove, shared_path, table, words_of, written
+from halyard.llm.common import remove, shared_path, table, tidy, words_of, written
 
 WINDOW, SEGMENT_WORDS, GAP, BLOCK_BYTES = 10, 1_500_000, 1 << 10, 4_000_000
 
@@ -103,7 +104,7 @@ def _index(segment_words: int):
 
 def build_index(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", segment_words: int = SEGMENT_WORDS) -> None:
     """Write the index of all tokens of docs to `path`: rows of documents (term null) and of postings."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_index(segment_words), SCHEMA)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(_index(segment_words)), SCHEMA)
     rows.withColumn("kind", F.when(F.col("term").isNull(), "documents").otherwise("postings")).write.partitionBy("kind").option("compression", "zstd").parquet(path)
 
 

@@ -9,7 +9,8 @@ Learning uses a bounded sample (`max_train`, documented: about that many rows, c
 to the driver is one vector per language of that sample.
 
 Cases: null texts and texts without a letter are `und` with score 0, as is everything if nothing could be learned; a
-null lang isn't learned from; equal cosines go to the first language in order; repeated rows stay rows; an empty table
+null lang isn't learned from; equal cosines go to the first language in order; very long
+texts are profiled whole, in slices; repeated rows stay rows; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import bounded_sample, crc_mod, table
+from halyard.llm.common import bounded_sample, crc_mod, table, tidy
 
-WIDTH, GRAM, SLOTS, SEED, MAX_TRAIN, HELD = 1024, 3, 256, 7, 20_000, 60_000
+WIDTH, GRAM, SLOTS, SEED, MAX_TRAIN, MAX_LANGS, HELD = 1024, 3, 256, 7, 20_000, 500, 60_000
 
 
 @lru_cache(maxsize=1)
@@ -114,11 +115,13 @@ def _vectors(sums: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "v"])
 
 
-def train(docs: DataFrame, allowed: Column, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """The languages in order and their prototypes, from the rows with `allowed`."""
+def train(docs: DataFrame, allowed: Column, max_train: int = MAX_TRAIN, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
+    """The languages in order and their prototypes, from the rows with `allowed`: at most `max_langs` of them, those with
+    the most sampled rows, so that what is broadcast is bounded (8 kB each)."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(allowed & F.col("lang").isNotNull())
     rows = bounded_sample(rows, max_train).select("lang", "text")
-    parts = rows.mapInArrow(_bundle, "lang string, v binary")
+    own = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    parts = rows.where(F.col("lang").isin(own)).mapInArrow(_bundle, "lang string, v binary")
     got = {r.lang: np.frombuffer(r.v) for r in parts.repartition(1).mapInArrow(_combine, "lang string, v binary").collect()}
     names = sorted(got)
     return names, np.array([got[n] for n in names]).reshape(-1, WIDTH)
@@ -153,7 +156,7 @@ def _predict(shared):
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_predict(shared)), "doc_id long, lang_pred string, score double")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

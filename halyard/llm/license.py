@@ -6,7 +6,8 @@ joined to the digests of known licences, canonicalised by the same functions; th
 licence is often named by a one-line notice, and there the known digests (a fixed list) are looked up in place.
 
 Cases: null text has a null digest and no licence; the empty text, and one of punctuation or copyright lines only, has
-the digest of nothing and no licence; repeated rows stay rows; other columns are ignored.
+the digest of nothing and no licence; very long texts and lines are canonicalised whole; a null doc_id is
+kept; repeated rows stay rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

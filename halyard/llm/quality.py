@@ -9,7 +9,7 @@ documents, chosen by a hash of the id), with whole texts. Scoring covers every w
 that no position is lost, with bounded memory.
 
 Cases: null and empty texts are scored as padding alone; repeated label rows of a document count as the largest, null
-labels as none; without any labelled row every score is 0; a null doc_id is never labelled; repeated rows stay rows; an
+labels as none, and of documents with one id the smallest text is learned from; without any labelled row every score is 0; a null doc_id is never labelled; repeated rows stay rows; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import bounded_sample, crc_mod, table
+from halyard.llm.common import bounded_sample, crc_mod, table, tidy
 
 EMBED, SPAN, STRIDE, FILTERS, HIDDEN, BLOCK = 8, 8, 2, 32, 16, 64
 MAX_TRAIN, EPOCHS, BATCH, RATE, SLICE = 4000, 5, 16, 0.004, 256  # SLICE: blocks at a time
@@ -137,8 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "qua
     own = labels.where(allowed & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     chosen = bounded_sample(own, max_train).select(F.col("doc_id").alias("_id"), "y")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one row an id, however often it comes
     rows = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit("order"), "doc_id"), "doc_id", "text").select("text", "y")
-    got = rows.mapInArrow(_train, "model binary").collect()
+    got = rows.mapInArrow(tidy(_train), "model binary").collect()
     return pickle.loads(got[0].model) if got else None
 
 
@@ -155,7 +156,7 @@ def _scorer(shared):
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     """doc_id and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scorer(shared), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_scorer(shared)), "doc_id long, score double")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import LOWER, salted_lookup, table, words_of, written
+from halyard.llm.common import LOWER, salted_lookup, table, tidy, words_of, written
 
 RADIUS, SHINGLE, SEED, TILE, BLOCK = 3, 3, 42, 512, 250_000
 
@@ -65,7 +65,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(_fingerprints), "doc_id long, fp long")
 
 
 def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:

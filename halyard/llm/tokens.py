@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import open_fs, shared_path, table, written
+from halyard.llm.common import open_fs, shared_path, table, tidy, written
 
 SEQUENCE, ROWS, END, MOST_PIECES, CHUNK = 2048, 512, 2, 800_000, 8 << 20
 HEAD, MARK = "\0", "\1"
@@ -304,7 +304,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     key = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
     rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-    shards = written(rows.mapInArrow(_writer(folder, vocabulary or default_vocabulary(), end, length, special_as_text), "part int, shard string, n long"), "token-manifest")
+    shards = written(rows.mapInArrow(tidy(_writer(folder, vocabulary or default_vocabulary(), end, length, special_as_text)), "part int, shard string, n long"), "token-manifest")
     base, rows = 0, []
     for r in sorted(shards.collect()):  # one row a partition
         rows.append((r.shard, base))
@@ -327,7 +327,7 @@ def _reader(folder: str):
 def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     n = max(1, manifest.count())
-    return manifest.repartition(n).mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n).mapInArrow(tidy(_reader(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ with a learning rate per coordinate; the L1 term leaves few non-zero weights, wh
 than BUCKETS of them. Every row is then scored over its whole text.
 
 Cases: null and empty texts score as the bias alone; repeated label rows of a document count as the largest of them,
-null labels as none; without any labelled row every score is 0; a null doc_id is never labelled; other columns are
-ignored.
+null labels as none, and of documents with one id the smallest text is learned from; without any labelled row every score
+is 0; a null doc_id is never labelled; very long texts are scored whole; repeated rows stay rows; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import bounded_sample, crc_mod, mix, table, words_of
+from halyard.llm.common import bounded_sample, crc_mod, mix, table, tidy, words_of
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -86,8 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "tox
     own = labels.where(allowed & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     chosen = bounded_sample(own, max_train).select(F.col("doc_id").alias("_id"), "y")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one row an id, however often it comes
     rows = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit("order"), "doc_id"), "doc_id", "text").select("text", "y")
-    got = rows.mapInArrow(_train, "at int, w double").toArrow()
+    got = rows.mapInArrow(tidy(_train), "at int, w double").toArrow()
     return got["at"].to_numpy(), got["w"].to_numpy()
 
 
@@ -112,7 +114,7 @@ def _scorer(shared):
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scorer(shared), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_scorer(shared)), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.5) -> DataFrame:
@@ -127,7 +129,7 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold:
             (got,) = run(iter([plain]))
             yield b.filter(pa.array(got.column(1).to_numpy() < threshold))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(tidy(choose), docs.schema)
 
 
 def allowed(col: str = "doc_id") -> Column:

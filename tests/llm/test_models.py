@@ -1,9 +1,11 @@
 """Classifiers by held-out accuracy on the small table, and their edge cases."""
 
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from halyard.llm import language, quality, toxicity
@@ -37,6 +39,80 @@ def test_toxicity(docs, labels):
     assert np.mean([s for s, y in held if y]) > np.mean(clean)
 
 
+def test_toxicity_scores_are_sums_of_weights(docs, labels):
+    """Scores by brute force: the weights of a text's distinct hashed words, pairs and skip pairs."""
+    at, w = toxicity.train(docs, labels, toxicity.allowed())
+    weight = dict(zip(at.tolist(), w.tolist()))
+    mask = (1 << 64) - 1
+
+    def coordinate(a, b, salt):
+        x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + salt * 0x165667B19E3779F9) & mask
+        x ^= x >> 31
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        return (x ^ x >> 29) >> (64 - toxicity.BITS)
+
+    for r in toxicity.score(docs.limit(60), (at, w)).join(docs.select("doc_id", "text"), "doc_id").collect():
+        clean = "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in (r.text or "").lower())
+        h = [xxhash.xxh64_intdigest(x.encode()) for x in re.split("[ \t-\r]+", clean) if x]
+        own = {coordinate(x, 0, 1) for x in h} | {coordinate(x, y, 2) for x, y in zip(h, h[1:])} | {coordinate(x, y, 3) for x, y in zip(h, h[2:])}
+        want = 1 / (1 + np.exp(-(weight[toxicity.BIAS] + sum(weight.get(c, 0.0) for c in own))))
+        assert abs(r.score - want) < 1e-4
+
+
+def test_repeated_ids_teach_once(ship, labels):
+    """However many rows an id has, the training task gets one."""
+    rows = [(k % 3, f"text {k}", "x") for k in range(300)]
+    docs = ship.createDataFrame(rows, "doc_id long, text string, y string")
+    some = ship.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    once = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    a, b = toxicity.train(docs, some, F.lit(True)), toxicity.train(once, some, F.lit(True))
+    assert all((x == y).all() for x, y in zip(a, b))
+    a, b = quality.train(docs, some, F.lit(True)), quality.train(once, some, F.lit(True))
+    assert all((a[k] == b[k]).all() for k in a)
+
+
+def brute_probability(m, text):
+    b = text.encode()
+    blocks = max(2, -(-len(b) // 128))
+    b = b + bytes(blocks * 128 + 6 - len(b))
+    at = [[sum(float(m["e"][b[2 * i + k]] @ m["w"][8 * k : 8 * k + 8, f]) for k in range(8)) for f in range(quality.FILTERS)] for i in range(64 * blocks)]
+    hidden = []
+    for c in range(blocks - 1):
+        top = np.maximum([max(at[i][f] for i in range(64 * c, 64 * c + 128)) + m["b"][f] for f in range(quality.FILTERS)], 0)
+        hidden.append(np.maximum(top @ m["v"] + m["c"], 0))
+    z = np.concatenate((np.mean(hidden, 0), np.max(hidden, 0))) @ m["u"] + m["d"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_is_the_whole_network():
+    """Probabilities by brute force: every filter at every place, chunk maxima, hidden layer, one output."""
+    m = {k: v.astype(np.float64) for k, v in quality.initial(5).items()}
+    for text in ["", "short", "Some text, é and more. " * 30, "x" * 700]:
+        assert abs(quality.probability(m, text) - brute_probability(m, text)) < 1e-6
+
+
+def test_language_is_the_largest_cosine(docs):
+    """Predictions by brute force over the learned prototypes."""
+    model = language.train(docs, F.lit(True))
+    names, protos = model
+    unit = protos / np.linalg.norm(protos, axis=1, keepdims=True)
+    mean = unit.mean(0)
+    p = language.Profiler()
+    for r in language.predict(docs.limit(60), model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        v = p.vector(r.text)
+        if v is None:
+            assert r.lang_pred == "und"
+            continue
+        v = v / np.linalg.norm(v) - mean
+        cos = {n: float((u - mean) @ v / np.linalg.norm(u - mean) / np.linalg.norm(v)) for n, u in zip(names, unit)}
+        assert r.lang_pred == max(cos, key=cos.get) and abs(r.score - min(1, max(0, cos[r.lang_pred]))) < 1e-6
+
+
+def test_languages_are_bounded(make):
+    docs = make([(k, "abc def ghi " * 3, f"l{k % 5}", "s") for k in range(23)])
+    assert language.train(docs, F.lit(True), max_langs=3)[0] == ["l0", "l1", "l2"]
+
+
 def test_toxicity_fit():
     r = np.random.default_rng(1)
     rows = []
