@@ -224,3 +224,31 @@ def is_subsequence(needle: Column, haystack: Column) -> Column:
 
 def facet_tag(question: Column) -> Column:
     return F.upper(F.regexp_extract(question, r"(?i)\[facet:([a-z_]+)\]", 1))
+
+
+def facet_question(question: Column, facet: Column, known: list[str]) -> Column:
+    """struct(question, facet, error): the question with one canonical tag in front. Tags in the question and `facet` must
+    name one known facet, case aside; INVALID_ARGUMENT else."""
+    tags = F.transform(F.regexp_extract_all(question, F.lit(r"(?i)\[facet:([^\]]*)\]"), F.lit(1)), lambda x: F.lower(F.trim(x)))
+    asked = F.lower(js_trim(F.coalesce(facet, F.lit(""))))
+    named = F.array_distinct(F.concat(F.when(asked != "", F.array(asked)).otherwise(F.array().cast("array<string>")), tags))
+    bad = (F.size(named) > 1) | F.exists(named, lambda x: ~x.isin(known))
+    bare = js_trim(F.regexp_replace(F.regexp_replace(question, r"(?i)\[facet:[^\]]*\]", " "), r"\s+", " "))
+    one = F.try_element_at(named, F.lit(1))
+    text = F.when(one.isNull(), bare).otherwise(F.rtrim(F.concat(F.lit("[FACET:"), F.upper(one), F.lit("] "), bare)))
+    return F.struct(F.when(~bad, text).alias("question"), F.when(~bad, one).alias("facet"), F.when(bad, "INVALID_ARGUMENT").alias("error"))
+
+
+def unique_files(files: Column) -> Column:
+    """struct(files, error): cited paths with plain slashes, distinct and sorted; UNSAFE_PATH where one holds a comma."""
+    plain = F.array_sort(F.array_distinct(F.transform(files, lambda x: F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("/")), r"^\./", ""))))
+    bad = F.exists(plain, lambda x: F.contains(x, F.lit(",")))
+    return F.struct(F.when(~bad, plain).alias("files"), F.when(bad, "UNSAFE_PATH").alias("error"))
+
+
+def file_terms(question: Column) -> Column:
+    """What a question about one file filters its symbols by: the target of its intent, else its identifiers, else its content
+    words, else itself; nothing for an empty question."""
+    t, tok, q = intent(question)["target"], tokens(question), js_trim(question)
+    own = F.when(t.isNotNull(), F.array(t)).when(F.size(tok["candidates"]) > 0, tok["candidates"]).when(F.size(tok["plain"]) > 0, tok["plain"]).otherwise(F.array(q))
+    return F.when(q == "", F.array().cast("array<string>")).otherwise(own)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from halyard.functions.text import js_round
+from halyard.functions.text import js_round, normalized_path
 
 
 def grep(lines: DataFrame, queries: DataFrame) -> DataFrame:
@@ -55,7 +56,70 @@ def scoreboard(reports: DataFrame) -> DataFrame:
     )
 
 
+def exact_grep(lines: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, path, line, text: lines that contain a query as it stands, files with a NUL (binary ones) left out; `queries` is
+    a list that fits in a task, and all of it counts."""
+    binary = lines.where(F.contains("text", F.lit("\0"))).select("path").distinct()
+    return lines.join(binary, "path", "left_anti").join(F.broadcast(queries.select("query")), F.contains("text", F.col("query"))).select("query", "path", "line", F.trim("text").alias("text"))
+
+
+def chosen(prompts: DataFrame, id: str | None = None, category: str | None = None) -> DataFrame:
+    """The prompts of an id, and of a category that holds `category`, case aside."""
+    p = prompts if id is None else prompts.where(F.col("id") == id)
+    return p if category is None else p.where(F.contains(F.lower("category"), F.lit(category.lower())))
+
+
+def reported_path(path: Column) -> Column:
+    """The path within the repository; null for what is empty, absolute or leads out of it."""
+    n = normalized_path(path)
+    return F.when(n["error"].isNull(), n["path"])
+
+
+def matches_file(actual: Column, expected: Column) -> Column:
+    """An unset expectation fits anything; else both must be paths of the repository, and equal."""
+    return expected.isNull() | F.coalesce(reported_path(actual) == reported_path(expected), F.lit(False))
+
+
+def contains_symbol(answer: Column, symbol: Column) -> Column:
+    """True where a text holds the symbol as a whole word."""
+    quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}_$])\Q"), F.replace(symbol, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E($|[^\p{L}\p{N}_$])"))
+    return F.coalesce(F.rlike(answer, quoted), F.lit(False))
+
+
+def names_in(answer: Column) -> Column:
+    """The values of all `name` fields of an answer in JSON, wherever they are."""
+    return F.regexp_extract_all(answer, F.lit(r'"name"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+
+
+def graph_names(answer: Column, direction: str) -> Column:
+    """The names after `callers:` or `callees:` in a flat listing; none for None; null where there is no such line."""
+    line = F.regexp_extract_all(answer, F.lit(rf"(?im)^{direction}:[ \t]*([^\n]*)$"), F.lit(1))
+    names = F.filter(F.transform(F.split(F.try_element_at(line, F.lit(1)), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(line) > 0, F.when(F.trim(F.try_element_at(line, F.lit(1))) == "None", F.array().cast("array<string>")).otherwise(names))
+
+
+def target_symbol(query: Column) -> Column:
+    """The name that a question asks about; null where none follows the words that ask."""
+    return F.nullif(F.regexp_extract(query, r"(?i)\b(?:callees of|definition of|trace|where is|who calls)\s+([\p{L}_$][\p{L}\p{N}_$]*)", 1), F.lit(""))
+
+
+def path_in_text(text: Column) -> Column:
+    """The first path of a source file in a text; null where there is none."""
+    return F.nullif(F.replace(F.regexp_extract(text, r"(?i)(?:^|\s)((?:[\w.-]+[\\/])*[\w.-]+\.(?:cjs|js|json|jsx|md|mjs|py|ts|tsx))(?:\s|\z)", 1), F.lit("\\"), F.lit("/")), F.lit(""))
+
+
+def histogram(reports: DataFrame) -> DataFrame:
+    """classification, count."""
+    return reports.groupBy("classification").agg(F.count("*").alias("count"))
+
+
 def at_rank(values: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    """key, value at place floor(n * share) of the sorted values (the last at most), without interpolation."""
-    s = F.sort_array(F.collect_list(value))
-    return values.groupBy(key).agg(F.element_at(s, (F.least(F.floor(F.count(value) * share), F.count(value) - 1) + 1).cast("int")).alias("value"))
+    """key, value at place floor(n * share) of the sorted values (the last at most), without interpolation; nulls don't count.
+
+    From counts per distinct value and their running sums; no key's values are gathered.
+    """
+    n = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    total = n.groupBy(key).agg(F.sum("c").alias("n"))
+    upto = n.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy(value)))
+    place = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    return upto.join(total, key).where(F.col("upto") > place).groupBy(key).agg(F.min(value).alias("value"))

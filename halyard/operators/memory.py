@@ -26,6 +26,13 @@ def freshness(entries: DataFrame, cited: DataFrame, stored: DataFrame) -> DataFr
     return r.withColumn("fresh", (F.size("missing") == 0) & (F.size("stale") == 0))
 
 
+def described(entries: DataFrame, fresh: DataFrame) -> DataFrame:
+    """id, text: why each entry that isn't fresh goes."""
+    part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(c, ", ")))
+    e = entries.join(fresh.where("NOT fresh"), "id")
+    return e.select("id", F.concat(F.col("id").cast("string"), F.lit(' "'), "question", F.lit('" ('), F.concat_ws("; ", part("missing", "missing"), part("changed", "stale")), F.lit(")")).alias("text"))
+
+
 def prune(entries: DataFrame, cited: DataFrame, stored: DataFrame) -> DataFrame:
     """The entries whose files are all there and unchanged."""
     stale = freshness(entries, cited, stored).where("NOT fresh").select("id")
@@ -62,11 +69,15 @@ def exact(questions: DataFrame, entries: DataFrame, fresh: DataFrame) -> DataFra
 def bm25(questions: DataFrame, docs: DataFrame, top: int = 5) -> DataFrame:
     """qid, id, rank, score: Okapi BM25 (k1 1.2, b 0.75) of docs (id, body) for questions (qid, question), best first,
     ties to the smaller id. Only shared terms are joined; a document with none never appears."""
-    d = docs.select("id", memory_terms(F.col("body")).alias("t"))
+    d = docs.select("id", F.array_sort(memory_terms(F.col("body"))).alias("t"))
     size = d.select(F.size("t").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    post = d.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    # a term's count is the distance between the starts of its run and the next in the sorted terms: no row a repeat
+    at = F.filter(F.sequence(F.lit(0), F.size("t")), lambda i: (i == 0) | (i == F.size("t")) | (F.get("t", i) != F.get("t", i - 1)))
+    d = d.where(F.size("t") > 0).select("id", F.size("t").alias("len"), "t", at.alias("at"))
+    runs = F.transform(F.slice("at", F.lit(1), F.size("at") - 1), lambda a, k: F.struct(F.get("t", a).alias("term"), (F.get("at", k + 1) - a).cast("long").alias("tf")))
+    post = d.select("id", "len", F.inline(runs))
     q = questions.select("qid", F.explode(F.array_distinct(memory_terms(F.col("question")))).alias("term"))
-    tf = post.join(q.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    tf = post.join(q.select("term").distinct(), "term", "left_semi").select("term", "id", "len", "tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     s = q.join(tf, "term").join(df, "term").crossJoin(F.broadcast(size))  # size is one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halyard.functions import text as T
-from halyard.operators import fuzzy, memory, paths, symbols
+from halyard.operators import fuzzy, graph, memory, paths, symbols
 from halyard.plans.cut import cut
 
 COLUMNS = ["qid", "question", "status", "stage", "provider", "name", "path", "line", "score", "miss_code"]
@@ -110,3 +110,52 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
     for d in done[1:]:
         out = out.unionByName(d)
     return out
+
+
+def scoped(questions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """qid, question, status, path, terms, names: questions (qid, question, path) about one file, answered from its outline
+    (path, name, start_line): its symbols whose name holds a term of the question, case aside, in line order; all of them
+    for an empty question. A file's outline is bounded by its extractor."""
+    q = questions.select("qid", "question", "path", T.file_terms(F.col("question")).alias("terms"))
+    held = F.exists("terms", lambda t: F.contains(F.lower("name"), F.lower(t)))
+    hit = q.join(symbols.select("path", "name", "start_line"), "path").where((F.size("terms") == 0) | held)
+    got = hit.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "name"))), lambda x: x["name"]).alias("names"))
+    r = q.join(got, "qid", "left")
+    return r.select("qid", "question", F.when(F.col("names").isNull(), "miss").otherwise("hit").alias("status"), "path", "terms", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.when(F.col("names").isNull(), "SYMBOL_NOT_FOUND").alias("miss_code"))
+
+
+def upgraded(questions: DataFrame, traversal: Column) -> DataFrame:
+    """questions (qid, question) with tool and target; a bare symbol asked with a traversal option is a trace."""
+    i = T.intent(F.col("question"))
+    q = questions.select("*", i.alias("_i"), traversal.alias("_t"))
+    up = F.col("_t") & (F.col("_i.tool") == "search_graph") & F.col("_i.target").isNotNull()
+    return q.select(*questions.columns, F.when(up, "trace_path").otherwise(F.col("_i.tool")).alias("tool"), F.col("_i.target").alias("target"), (up | F.col("_i.requires_parser")).alias("requires_parser"))
+
+
+def faceted(questions: DataFrame) -> DataFrame:
+    """questions (qid, question, facet, tier) as they are routed: `status` asks for the map; another facet's tag goes before
+    the question, which then is for the notes unless a tier is forced."""
+    f = F.lower(T.js_trim(F.coalesce("facet", F.lit(""))))
+    tag = F.concat(F.lit("[FACET:"), F.upper(f), F.lit("]"))
+    text = F.when((f == "") | (f == "status"), F.col("question")).when(T.js_trim(F.col("question")) == "", tag).otherwise(F.concat(tag, F.lit(" "), T.js_trim(F.col("question"))))
+    tier = F.when(f == "status", "map").when((f != "") & (F.coalesce("tier", F.lit("auto")) == "auto"), "memory").otherwise(F.coalesce("tier", F.lit("auto")))
+    return questions.select("qid", text.alias("question"), tier.alias("tier"))
+
+
+def citing(answers: DataFrame, cited: DataFrame) -> DataFrame:
+    """answers (qid, id, path, ...) of facet questions about one file, as misses where the note doesn't cite that file."""
+    norm = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), r"^\./", "")
+    there = cited.select("id", F.col("file").alias("_f")).distinct().withColumn("_ok", F.lit(True))
+    j = answers.withColumn("_f", norm).join(there, ["id", "_f"], "left")
+    bad = F.col("path").isNotNull() & F.col("_ok").isNull()
+    return j.select(*[c for c in answers.columns if c != "id"], F.when(~bad, F.col("id")).alias("id"), F.when(bad, "NO_CHARTED_MEMORY").alias("miss_code"))
+
+
+def ask(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: DataFrame, cited: DataFrame, stored: DataFrame, edges: DataFrame | None = None, depth: int = 1, direction: str = "both", **options) -> tuple[DataFrame, DataFrame | None]:
+    """(answers, graph): the router's rows, and for trace questions that it answered with one definition, the capped traversal
+    of that definition over edges (nodes are qualified names)."""
+    got = cut(route(questions, files, syms, entries, cited, stored, **options))
+    if edges is None:
+        return got, None
+    roots = got.where("status = 'hit' AND stage = 'trace_path'").select("qid", F.col("name").alias("node"))
+    return got, graph.traverse(roots, edges, depth, direction, graph.CAP)

@@ -34,7 +34,7 @@ def render_flat_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES = {
-    "render_flat_graph": f"""WITH {C.EDGES_SQL}, e AS (SELECT * FROM edges WHERE src LIKE 'nation:%' OR src LIKE 'supplier:%'), n AS (SELECT src node FROM e UNION SELECT dst FROM e),
+    "render_flat_graph": f"""WITH {C.EDGES_SQL}, e AS (SELECT * FROM edges), n AS (SELECT src node FROM e UNION SELECT dst FROM e),
  i AS (SELECT dst node, count(DISTINCT src) c, string_agg(DISTINCT src, ', ' ORDER BY src) l FROM e GROUP BY dst), o AS (SELECT src node, count(DISTINCT dst) c, string_agg(DISTINCT dst, ', ' ORDER BY dst) l FROM e GROUP BY src)
  SELECT node, 'function: ' || node || chr(10) || 'direction: both' || chr(10) || 'callees_total: ' || coalesce(o.c, 0) || chr(10) || 'callees: ' || coalesce(o.l, 'None') || chr(10) || 'callers_total: ' || coalesce(i.c, 0) || chr(10) || 'callers: ' || coalesce(i.l, 'None') AS text
  FROM n LEFT JOIN i USING (node) LEFT JOIN o USING (node)""",

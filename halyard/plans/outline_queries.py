@@ -75,8 +75,8 @@ _names = lambda stop: rf"list_filter(regexp_extract_all(q, '([A-Za-z0-9_]+(\.[A-
 _q = lambda p: "'" + p.replace("'", "''") + "'"
 _ident = r"(length(w) > 1 AND regexp_matches(w, '[a-z].*[A-Z]|[_.]'))"
 ORACLES = {
-    "outline_filter": f"""WITH {C.LINES_SQL} SELECT path, line, substr(text, 1, 40) AS name FROM lines WHERE contains(lower(substr(text, 1, 40)), 'ent')
- AND (contains(lower(substr(text, 1, 40)), 'tion') OR len(list_filter(string_split(regexp_replace(path, '/.*', ''), 'src'), lambda t: t != '' AND contains(lower(substr(text, 1, 40)), lower(t)))) > 0)""",
+    "outline_filter": f"""WITH {C.LINES_SQL} SELECT path, line, text AS name FROM lines WHERE contains(lower(text), 'ent')
+ AND (contains(lower(text), 'tion') OR len(list_filter(string_split(regexp_replace(path, '/.*', ''), 'src'), lambda t: t != '' AND contains(lower(text), lower(t)))) > 0)""",
     "innermost_enclosing": f"""WITH {C.LINES_SQL}, s AS (SELECT path, line, line + length(text) % 5 AS e FROM lines), m AS (SELECT a.path, a.line, min({{'a': -b.line, 'b': b.e, 'c': 's' || b.line}}) FILTER (b.line IS NOT NULL) m FROM s a LEFT JOIN s b ON a.path = b.path AND b.e > b.line AND b.line < a.line AND a.line <= b.e GROUP BY ALL)
  SELECT path, line, m.c AS "owner", -m.a AS owner_start, m.b AS owner_end FROM m""",
     "heading_spans": f"""WITH {C.LINES_SQL}, mx AS (SELECT path, max(line) last_line FROM lines GROUP BY path), h AS (SELECT path, line, length(text) % 6 + 1 AS level FROM lines WHERE length(text) % 2 = 0)

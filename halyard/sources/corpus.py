@@ -57,7 +57,7 @@ SYMBOLS_SQL = """symbols AS (
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
-    """src calls dst: orders call customers and parts' suppliers, customers and suppliers call nations, nations regions."""
+    """src calls dst: orders call customers, customers and suppliers call nations, nations regions."""
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     t = lambda n: table(spark, folder, n)
     e = t("nation").select(key("nation:", "n_nationkey").alias("src"), key("region:", "n_regionkey").alias("dst"))
