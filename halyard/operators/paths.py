@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from halyard.functions.text import basename, grams
 
@@ -71,6 +72,9 @@ def collisions(questions: DataFrame, files: DataFrame, shown: int = 10) -> DataF
     kinds = n.where("n_end > 1 OR n_sub > 1").select("qid", F.when(F.col("n_end") > 1, "suffix").otherwise("substring").alias("kind"))
     found = hits.join(kinds, "qid").where("kind = 'substring' OR at_end").join(rest.select("qid", "question"), "qid").select("qid", "question", "kind", "path", "ord")
     every = by_base.unionByName(found)
-    top = F.slice(F.array_sort(F.collect_list(F.struct("ord", "path"))), 1, shown)
-    got = every.groupBy("qid", "question", "kind").agg(F.count("*").alias("n_files"), F.array_join(F.transform(top, lambda x: x["path"]), ",").alias("candidates"))
+    # counts apart from the few that are shown: no question's candidates are gathered
+    n = every.groupBy("qid", "question", "kind").agg(F.count("*").alias("n_files"))
+    few = every.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("ord", "path"))).where(F.col("_r") <= shown)
+    few = few.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"]), ",").alias("candidates"))
+    got = n.join(few, "qid")
     return got.select("qid", "question", F.lit("AMBIGUOUS_PATH_COLLISION").alias("miss_code"), "kind", "n_files", "candidates")

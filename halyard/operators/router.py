@@ -61,8 +61,7 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
         arch = rest.where("requires_parser AND tool = 'get_architecture'")
         rest = settle(_rows(arch, "hit", "architecture", "structure"), rest)
         asked = rest.where("requires_parser AND target IS NOT NULL")
-        found = symbols.lookup(asked.select("qid", F.col("target").alias("question")), syms, widen=True)
-        got = symbols.answers(asked.select("qid", F.col("target").alias("question")), found).where("status = 'hit'").drop("question")
+        got = symbols.answers(asked.select("qid", F.col("target").alias("question")), syms, widen=True).where("status = 'hit'").drop("question")
         j = asked.select("qid", "question", "tool").join(got, "qid")
         stage = F.when(F.col("ambiguous"), "ambiguous").otherwise(F.col("tool"))
         hit = _rows(j, "hit", "structure", "structure", name=F.coalesce("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")).join(j.select("qid", stage.alias("s")), "qid").withColumn("stage", F.col("s")).drop("s")
@@ -79,7 +78,7 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
         lit = cut(lit.join(col.select("qid"), "qid", "left_anti"))
         dotted = lit.where("could_be_symbol")
         key = dotted.select("qid", F.regexp_replace("normalized", r"\(\)\z", "").alias("question"))
-        sym = symbols.answers(key, symbols.lookup(key, syms)).where("status = 'hit'").drop("question")
+        sym = symbols.answers(key, syms).where("status = 'hit'").drop("question")
         sym = cut(sym)
         rest = settle(_rows(dotted.select("qid", "question").join(sym, "qid"), "hit", "literal_symbol", "structure", name=F.col("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")), rest)
         lit = lit.join(sym.select("qid"), "qid", "left_anti")

@@ -1,13 +1,13 @@
 """Definition lookup in stages, ranking and multi-symbol answers.
 
-A stage only sees the questions that the stages before left open (anti joins), and every choice has a total order.
+Where only the count and the best definition are asked for, definitions are reduced to one row a key before any question
+meets them; a question then joins its keys once and keeps its first stage. Every choice has a total order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from halyard.functions.text import is_test_file
 
@@ -35,10 +35,26 @@ def lookup(questions: DataFrame, symbols: DataFrame, widen: bool = False) -> Dat
     return found.join(lead, ["qid", "_n"]).drop("_n").withColumn("widened", F.col("stage").startswith("widened")).withColumn("source", F.col("tier"))
 
 
-def answers(questions: DataFrame, found: DataFrame) -> DataFrame:
+def staged(questions: DataFrame, symbols: DataFrame, first: Column, widen: bool = False) -> DataFrame:
+    """qid, stage, n_hits, first: of each question's first stage (see `lookup`) the number of definitions and the least
+    `first`, an expression over a symbol and `question`, which is the key that the stage looks up."""
+    of = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("question")) for c in ("name", "qualified")]))
+    keyed = symbols.select("*", of.alias("_x")).select("*", "_x.of", "_x.question").groupBy("tier", "of", "question").agg(F.count("*").alias("n_hits"), F.min(first).alias("first"))
+    q = questions.select("qid", F.trim("question").alias("want")).withColumn("bare", F.substring_index("want", ".", -1))
+    bare = F.when((F.col("bare") != F.col("want")) & (F.col("bare") != ""), F.col("bare"))
+    want, dotted = F.when(F.col("want") != "", F.col("want")), F.contains("want", F.lit("."))
+    stages = [("direct", "primary", "name", want), ("qualified", "primary", "qualified", F.when(bare.isNotNull(), want)), ("fallback", "fallback", "qualified", F.when(dotted, want)), ("fallback", "fallback", "name", F.when(~dotted, want))]
+    if widen:
+        stages += [("widened", "primary", "name", bare), ("widened_fallback", "fallback", "name", bare)]
+    asks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(stage).alias("stage"), F.lit(tier).alias("tier"), F.lit(c).alias("of"), key.alias("question")) for k, (stage, tier, c, key) in enumerate(stages)])
+    q = q.select("qid", F.explode(F.filter(asks, lambda x: x["question"].isNotNull())).alias("x")).select("qid", "x.*")
+    hit = q.join(keyed, ["tier", "of", "question"])
+    return hit.groupBy("qid").agg(F.min_by(F.struct("stage", "n_hits", "first"), "k").alias("m")).select("qid", "m.*")
+
+
+def answers(questions: DataFrame, symbols: DataFrame, widen: bool = False) -> DataFrame:
     """Per question: stage, n_hits, ambiguous (AMBIGUOUS definitions or more), status, and the first definition in order."""
-    one = found.groupBy("qid").agg(F.first("stage").alias("stage"), F.count("*").alias("n_hits"), F.min(F.struct("path", "line", "name", "qualified", "kind")).alias("first"))
-    r = questions.select("qid", "question").join(one, "qid", "left")
+    r = questions.select("qid", "question").join(staged(questions, symbols, F.struct("path", "line", "name", "qualified", "kind"), widen), "qid", "left")
     n = F.coalesce("n_hits", F.lit(0))
     return r.select("qid", "question", "stage", n.alias("n_hits"), (n >= AMBIGUOUS).alias("ambiguous"), F.when(n == 0, "miss").otherwise("hit").alias("status"), F.col("first.path").alias("path"), F.col("first.line").alias("line"), F.col("first.qualified").alias("qualified"))
 
@@ -57,10 +73,8 @@ def score(root: str):
 def best(questions: DataFrame, symbols: DataFrame, root: str) -> DataFrame:
     """One row per distinct trimmed question: status, and its best definition by score, then path, line, name."""
     qs = questions.select(F.trim("question").alias("question")).where("question != ''").distinct().withColumn("qid", F.col("question"))
-    found = lookup(qs, symbols).withColumn("score", score(root))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "path", "line", "name")
-    top = found.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("qid", "path", "line", "kind", "score")
-    return qs.join(top, "qid", "left").select("question", F.when(F.col("path").isNull(), "miss").otherwise("hit").alias("status"), "path", "line", "kind", F.col("score").cast("long").alias("score"))
+    top = staged(qs, symbols, F.struct((-score(root)).alias("s"), "path", "line", "name", "kind")).select("qid", "first.*")
+    return qs.join(top, "qid", "left").select("question", F.when(F.col("path").isNull(), "miss").otherwise("hit").alias("status"), "path", "line", "kind", (-F.col("s")).cast("long").alias("score"))
 
 
 def summary(items: DataFrame) -> DataFrame:
@@ -74,12 +88,21 @@ def enclosing(points: DataFrame, spans: DataFrame, strict: bool = False) -> Data
     """Each point (path, line, ...) with its innermost span (name, start, end) of the same path; null where none holds it.
 
     The latest start wins, then the earliest end, then the name. `strict` leaves out a span that begins at the point.
+
+    A span is kept in the smallest aligned block of 2^level lines that holds it, and a point asks the block it is in on
+    each level its path has, so a point meets few spans but those that hold it; no path is one task's.
     """
+    level = lambda a, z: F.when(a == z, 0).otherwise(F.length(F.bin(a.bitwiseXOR(z))))
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    s = spans.where("start <= `end`").select(F.col("path").alias("_p"), F.col("name").alias("owner"), F.col("start").alias("owner_start"), F.col("end").alias("owner_end"), level(start, end).alias("_level"), start.alias("_s"))
+    s = s.withColumn("_block", F.expr("shiftright(_s, _level)")).drop("_s")
+    levels = s.groupBy(F.col("_p").alias("_q")).agg(F.collect_set("_level").alias("_levels"))  # 64 at most
     p = points.withColumn("_id", F.monotonically_increasing_id())
-    s = spans.select(F.col("path").alias("_p"), F.col("name").alias("owner"), F.col("start").alias("owner_start"), F.col("end").alias("owner_end"))
+    p = p.join(levels, p["path"] == levels["_q"], "left").drop("_q").withColumn("_at", F.explode_outer("_levels")).drop("_levels")
+    p = p.withColumn("_in", F.expr("shiftright(cast(line as bigint), _at)"))
     inside = (F.col("owner_start") < F.col("line")) if strict else (F.col("owner_start") <= F.col("line"))
-    hit = p.join(s, (F.col("path") == F.col("_p")) & inside & (F.col("line") <= F.col("owner_end")), "left").drop("_p")
-    keep = [c for c in p.columns if c != "_id"]
+    hit = p.join(s, (F.col("path") == F.col("_p")) & (F.col("_at") == F.col("_level")) & (F.col("_in") == F.col("_block")) & inside & (F.col("line") <= F.col("owner_end")), "left")
+    keep = points.columns
     order = F.struct((-F.col("owner_start")).alias("a"), F.col("owner_end").alias("b"), F.col("owner").alias("c"))
     got = hit.groupBy("_id").agg(*[F.first(c).alias(c) for c in keep], F.min(F.when(F.col("owner").isNotNull(), order)).alias("m"))
     return got.select(*keep, F.col("m.c").alias("owner"), (-F.col("m.a")).alias("owner_start"), F.col("m.b").alias("owner_end"))

@@ -22,7 +22,7 @@ SYMBOL_QUESTIONS_SQL = "questions AS (SELECT DISTINCT unnest([name, qualified, '
 def symbol_lookup(spark: SparkSession, folder: str) -> DataFrame:
     syms = C.symbols(spark, folder)
     qs = symbol_questions(syms)
-    return S.answers(qs, S.lookup(qs, syms, widen=True)).drop("qid")
+    return S.answers(qs, syms, widen=True).drop("qid")
 
 
 def multi_symbol_best(spark: SparkSession, folder: str) -> DataFrame:

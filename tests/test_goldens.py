@@ -140,7 +140,7 @@ def test_call_graph(spark):
 def test_qualified_lookup(spark):
     syms = spark.createDataFrame([("start", "Worker.start", "method", "w.ts", 1, "primary"), ("start", "Daemon.start", "method", "d.ts", 2, "primary"), ("boot", "boot", "function", "b.mjs", 3, "fallback")], "name string, qualified string, kind string, path string, line long, tier string")
     q = asked(spark, ["Worker.start", "start", "helpers.boot", "none"])
-    got = {r.question: (r.stage, r.n_hits, r.status) for r in symbols.answers(q, symbols.lookup(q, syms, True)).collect()}
+    got = {r.question: (r.stage, r.n_hits, r.status) for r in symbols.answers(q, syms, True).collect()}
     assert got == {"Worker.start": ("qualified", 1, "hit"), "start": ("direct", 2, "hit"), "helpers.boot": ("widened_fallback", 1, "hit"), "none": (None, 0, "miss")}
 
 
