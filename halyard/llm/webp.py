@@ -6,7 +6,7 @@ transforms. A stream of literals whose only real prefix code is the green one -
 by table look-ups at all bit offsets at once and a walk along them; all else goes pixel by pixel.
 
 A text is stored as grey samples, 192 to a row, subtract-green leaving red and blue empty; after MAX_ROWS rows the next
-image follows in the same value.
+image follows in the same value: its first image is a file that any reader opens, the others only `array_of` does.
 
 Cases: null is the empty text, stored as one row of spaces; equal texts give equal values; repeated rows stay rows; a
 null doc_id stays null; an empty table gives an empty result; other columns are ignored.
@@ -18,7 +18,6 @@ import hashlib
 import heapq
 import math
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import table, written
+from halyard.llm.common import table, tidy, written
 
 ROW, MAX_ROWS, LIMIT = 192, 1024, 12
 ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -538,17 +537,34 @@ def store(payload: bytes, row: int = ROW, rows: int = MAX_ROWS) -> bytes:
     return b"".join(encode_grey(px[k : k + rows]) for k in range(0, len(px), rows))
 
 
-def load(media: bytes) -> np.ndarray:
-    """The samples of a stored payload, rows below each other."""
-    at, parts = 0, []
+def pictures(media: bytes) -> Iterator[np.ndarray]:
+    """The pixels (height x width x ARGB) of the images in a stored value, one after another."""
+    at = 0
     while at < len(media):
         n = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        px = decode(media[at : at + n])
-        if not ((px[..., 1] == px[..., 2]).all() and (px[..., 3] == px[..., 2]).all()):
-            raise ValueError("not a grey image")
-        parts.append(px[..., 2].astype(np.uint8))
+        yield decode(media[at : at + n])
         at += n
-    return np.concatenate(parts)
+
+
+def grey(px: np.ndarray) -> bool:
+    return bool((px[..., 1] == px[..., 2]).all() and (px[..., 3] == px[..., 2]).all() and (px[..., 0] == 255).all())
+
+
+def array_of(media: bytes) -> np.ndarray:
+    """The samples of a stored value, images of one width below each other: height x width of grey ones, else
+    height x width x RGBA."""
+    parts = list(pictures(media))
+    if all(map(grey, parts)):
+        return np.concatenate([p[..., 2] for p in parts]).astype(np.uint8)
+    return np.concatenate([p[..., [1, 2, 3, 0]] for p in parts]).astype(np.uint8)
+
+
+def load(media: bytes) -> np.ndarray:
+    """The samples of a stored payload, rows below each other."""
+    px = array_of(media)
+    if px.ndim != 2:
+        raise ValueError("not a grey image")
+    return px
 
 
 def feature(px: np.ndarray) -> str:
@@ -577,29 +593,46 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
-def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seen, out = {}, []
         for media in b.column(2).to_pylist():
+            if media is None:
+                out.append((None,) * 7)
+                continue
             sha = hashlib.sha256(media).hexdigest()
             if sha not in seen:
-                px = load(media)
-                data = px.tobytes()
-                seen[sha] = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), sha, feature(px))
+                px = array_of(media)
+                seen[sha] = (len(media), sha, px.shape[1], px.shape[0], 1 if px.ndim == 2 else 4, px.tobytes(), feature(px))
             out.append(seen[sha])
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], ["doc_id", "n_bytes", "media_bytes", "media_sha256", "width", "height", "channels", "pixels", "feature"])
 
 
 def write_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, media (WebP bytes) of every row, written to the shared folder."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return written(rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
+    return written(rows.mapInArrow(tidy(_store), "doc_id long, n_bytes long, media binary"), "media")
+
+
+def pixels(media: DataFrame) -> DataFrame:
+    """The pixel arrays of any lossless WebP column (doc_id, n_bytes, media): width, height, channels (1: grey, 4: RGBA),
+    pixels (bytes, row by row), and media_bytes, media_sha256, feature. A null value has nulls; a broken one raises."""
+    kept = media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media")
+    return kept.mapInArrow(tidy(_pixels), "doc_id long, n_bytes long, media_bytes long, media_sha256 string, width int, height int, channels int, pixels binary, feature string")
+
+
+def write_pixels(media: DataFrame, path: str) -> None:
+    """Write the pixel arrays as Parquet."""
+    pixels(media).write.option("compression", "zstd").parquet(path)
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """The stored values decoded: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    return media.mapInArrow(_load, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """The stored values decoded: payload_bytes, payload_sha256, tail_crc32 of their pixel arrays, media_bytes,
+    media_sha256, feature."""
+    px = F.col("pixels")
+    digests = [F.octet_length(px).cast("long").alias("payload_bytes"), F.sha2(px, 256).alias("payload_sha256"), F.crc32(F.substring(px, -16, 16)).alias("tail_crc32")]
+    return pixels(media).select("doc_id", "n_bytes", *digests, "media_bytes", "media_sha256", "feature")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -84,14 +85,40 @@ def test_media(odd, ship):
     got = webp.read_media(webp.write_media(odd)).collect()
     want = set()
     for d, t in rows:
-        n, p = webp.payload(t)
-        want.add((d, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
-    assert len(got) == odd.count() and {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got} == want
+        p = (t or "").encode()
+        n = len(p)
+        p += b" " * (192 - n if n < 192 else -n % 192)
+        c = [p.count(bytes([k])) for k in range(256)]
+        entropy = -sum(k / len(p) * math.log2(k / len(p)) for k in c if k)
+        mean = sum(k * i for i, k in enumerate(c)) / len(p)
+        bins = ".".join(str(sum(c[k : k + 16]) * 1000 // len(p)) for k in range(0, 256, 16))
+        want.add((d, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), f"rows={len(p) // 192};mean={mean:.3f};entropy={abs(entropy):.4f};bins={bins}"))
+    assert len(got) == odd.count() and {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in got} == want
+    held = webp.write_media(odd).collect()
+    assert all(m.media[:4] == b"RIFF" and m.media[8:16] == b"WEBPVP8L" for m in held)
+    assert {(r.doc_id, r.media_bytes, r.media_sha256) for r in got} == {(m.doc_id, len(m.media), hashlib.sha256(m.media).hexdigest()) for m in held}
     by_payload = {(r.payload_sha256, r.media_sha256, r.media_bytes, r.feature) for r in got}
     assert len(by_payload) == len({r.payload_sha256 for r in got})
     assert webp.read_media(webp.write_media(odd.limit(0))).count() == 0
 
 
+def test_pixel_arrays(image, ship, tmp_path):
+    """Any lossless image becomes a written pixel array; nulls stay null."""
+    w = webp.BitWriter()
+    _head(w, 13, 9)
+    w.put(0, 1)
+    w.put(0, 1)
+    w.put(0, 1)
+    _literals(w, _argb(image))
+    colour, own = webp.container(w.bytes()), webp.store(b"ab" * 192)
+    media = ship.createDataFrame([(1, 0, colour, "x"), (2, 0, own, "x"), (3, None, None, "x")], "doc_id long, n_bytes long, media binary, pixels string")
+    webp.write_pixels(media, str(tmp_path / "px"))
+    got = {r.doc_id: r for r in ship.read.parquet(str(tmp_path / "px")).collect()}
+    assert (got[1].width, got[1].height, got[1].channels) == (13, 9, 4) and got[1].pixels == image[..., [1, 2, 3, 0]].astype(np.uint8).tobytes()
+    assert (got[2].width, got[2].height, got[2].channels) == (192, 2, 1) and got[2].pixels == b"ab" * 192
+    assert got[3].pixels is None and got[3].width is None
+
+
 def _literals(w, px, cache_bits=0, runs=None):
     """Write an entropy-coded image of ARGB values: codes, then pixels; runs: {index: (length, distance code)}."""
     runs = runs or {}
