@@ -40,6 +40,8 @@ def shared_base(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark.sparkContext, "_halyard_shared", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="halyard-")
