@@ -11,5 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, kept in the folder that spark.checkpoint.dir names; where it is unset, in one of our own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="halyard-cut-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="halyard-cut-"))
     return df.checkpoint()
