@@ -133,3 +133,24 @@ def resolve(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     exact = named.join(by_name, ["want", "callee"]).select("call_id", F.col("want").alias("qualified"), "def_path", "def_line")
     loose = named.where("receiver != 'this'").join(by_name.select("want", "callee").distinct(), ["want", "callee"], "left_anti").join(only(methods), "callee").select(*out)
     return new.unionByName(here).unionByName(there).unionByName(exact).unionByName(loose)
+
+
+def targets(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """call_id, n_targets, first_target, first_path: of each call that `resolve` finds definitions for, their number, least
+    qualified name and least path. Definitions are reduced to one row a key before calls meet them, so no call is repeated
+    for each of its definitions. One row a row of calls."""
+    s = symbols.select(F.col("name").alias("callee"), "qualified", "kind", F.col("path").alias("def_path"))
+    few = lambda d, *key: d.groupBy(*key).agg(F.count("*").alias("n_targets"), F.min("qualified").alias("first_target"), F.min("def_path").alias("first_path"))
+    out = ["call_id", "n_targets", "first_target", "first_path"]
+    free = s.where(F.col("kind").isin(CALLABLE))
+    functions, methods = free.where("kind = 'function'"), free.where("kind = 'method'")
+    c = calls.select("call_id", "callee", "receiver", "path", "owner")
+    new = c.where("receiver = 'new'").join(few(s.where("kind = 'class'"), "callee"), "callee").select(*out)
+    bare, local = c.where("receiver IS NULL"), few(functions.withColumn("path", F.col("def_path")), "callee", "path")
+    here = bare.join(local, ["callee", "path"]).select(*out)
+    there = bare.join(local.select("callee", "path"), ["callee", "path"], "left_anti").join(few(functions, "callee").where("n_targets = 1"), "callee").select(*out)
+    named = c.where("receiver IS NOT NULL AND receiver != 'new'").withColumn("want", F.concat(F.when(F.col("receiver") == "this", F.col("owner")).otherwise(F.col("receiver")), F.lit("."), "callee"))
+    by_name = few(free.withColumn("want", F.col("qualified")), "want", "callee")
+    exact = named.join(by_name, ["want", "callee"]).select(*out)
+    loose = named.where("receiver != 'this'").join(by_name.select("want", "callee"), ["want", "callee"], "left_anti").join(few(methods, "callee").where("n_targets = 1"), "callee").select(*out)
+    return new.unionByName(here).unionByName(there).unionByName(exact).unionByName(loose)
