@@ -6,11 +6,15 @@ ends there. Ambiguity is reported, never resolved by a guess.
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halyard.functions import text as T
+from halyard.functions.substrings import holders
 from halyard.operators import fuzzy, graph, memory, paths, symbols
 from halyard.plans.cut import cut
 
@@ -123,6 +127,53 @@ def scoped(questions: DataFrame, symbols: DataFrame) -> DataFrame:
     return r.select("qid", "question", F.when(F.col("names").isNull(), "miss").otherwise("hit").alias("status"), "path", "terms", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.when(F.col("names").isNull(), "SYMBOL_NOT_FOUND").alias("miss_code"))
 
 
+def _heads(shown: int):
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        terms, low, n, first = asked.column("terms").to_pylist(), *(held.column(c).to_pylist() for c in ("low", "n", "first"))
+        at = holders({t for ts in terms if ts for t in ts if t is not None}, low)
+        total, every = sum(n), None
+        rows = []
+        for ts in terms:
+            if ts is None:
+                continue
+            if ts:
+                own = sorted({k for t in ts if t is not None for k in at[t]})
+                size, best = sum(n[k] for k in own), heapq.nsmallest(shown, (line for k in own for line in first[k]), key=_line)
+            else:
+                every = every or heapq.nsmallest(shown, (line for lines in first for line in lines), key=_line)
+                size, best = total, every
+            if size:
+                rows.append((ts, size, [x["name"] for x in best]))
+        path = asked.column("_asked")[0].as_py() if len(asked) else None
+        return pa.table({"path": pa.array([path] * len(rows), pa.string()), "terms": pa.array([r[0] for r in rows], pa.list_(pa.string())), "n": pa.array([r[1] for r in rows], pa.int64()), "names": pa.array([r[2] for r in rows], pa.list_(pa.string()))})
+
+    return run
+
+
+def _line(x: dict) -> tuple:
+    return x["start_line"] is not None, x["start_line"] or 0, x["name"] is not None, x["name"] or ""
+
+
+def scoped_heads(questions: DataFrame, symbols: DataFrame, shown: int) -> DataFrame:
+    """qid, question, status, path, terms, n, names, miss_code: as `scoped`, with the number of names and only the first `shown`.
+
+    A file's distinct lists of terms are answered once each, in one task over its distinct names; a term is looked up by
+    its rarest run of characters, so terms don't meet all names."""
+    q = questions.select("qid", "question", "path", T.file_terms(F.col("question")).alias("terms"))
+    low = F.transform("terms", lambda t: F.lower(t))
+    q = q.withColumn("_low", low)
+    w = Window.partitionBy("path", "name").orderBy("start_line")
+    s = symbols.select("path", "name", "start_line")
+    few = s.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= shown).groupBy("path", "name").agg(F.collect_list(F.struct("start_line", "name")).alias("first"))
+    few = few.join(s.groupBy("path", "name").agg(F.count("*").alias("n")).withColumnsRenamed({"path": "_p", "name": "_n"}), (F.col("path") == F.col("_p")) & F.col("name").eqNullSafe(F.col("_n")))
+    held = few.select(F.col("path").alias("_file"), F.lower("name").alias("low"), "n", "first")
+    asked = q.where("path IS NOT NULL").select(F.col("path").alias("_asked"), F.col("_low").alias("terms")).distinct()
+    got = asked.groupBy("_asked").cogroup(held.groupBy("_file")).applyInArrow(_heads(shown), "path string, terms array<string>, n long, names array<string>")
+    r = q.join(got.withColumnsRenamed({"path": "_p", "terms": "_t", "names": "_names"}), (F.col("path") == F.col("_p")) & (F.col("_low") == F.col("_t")), "left")
+    miss = F.col("n").isNull()
+    return r.select("qid", "question", F.when(miss, "miss").otherwise("hit").alias("status"), "path", "terms", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_names", F.array().cast("array<string>")).alias("names"), F.when(miss, "SYMBOL_NOT_FOUND").alias("miss_code"))
+
+
 def upgraded(questions: DataFrame, traversal: Column) -> DataFrame:
     """questions (qid, question) with tool and target; a bare symbol asked with a traversal option is a trace."""
     i = T.intent(F.col("question"))

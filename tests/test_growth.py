@@ -1,9 +1,12 @@
 """Steps whose rows once grew faster than their input: same results, from fewer rows."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from halyard.operators import symbols
+from halyard.functions.substrings import holders
+from halyard.operators import router, symbols
 from halyard.plans import catalog
 from halyard.sources import corpus as C
 from tests.conftest import same
@@ -34,3 +37,25 @@ def test_call_resolve_of_odd_parts(spark, small, tmp_path):
     for t in ("supplier", "customer", "part", "lineitem"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     same(catalog.QUERIES["call_resolve"](spark, str(tmp_path)), c.sql(catalog.ORACLES["call_resolve"]))
+
+
+def test_holders():
+    r = random.Random(3)
+    word = lambda k: "".join(r.choices("abc_é", k=r.randrange(k)))
+    texts, terms = [None, *[word(40) for _ in range(200)]], {word(20) for _ in range(200)} | {"", "zz", "a" * 17}
+    assert holders(terms, texts) == {t: [k for k, x in enumerate(texts) if x is not None and t in x] for t in terms}
+
+
+def test_scoped_heads(spark):
+    """As the full lists, cut to the first few; names repeated in a file, null names, files that aren't there."""
+    syms = [(f"f{i % 2}.ts", n, i // 3) for i in range(60) for n in [("fooBar", "barFoo", "sup_01", None, "x")[i % 5]]]
+    s = spark.createDataFrame(syms, "path string, name string, start_line long")
+    asked = [("where is fooBar", "f0.ts"), ("where is foobar", "f1.ts"), ("", "f0.ts"), ("what about sup_01 or fooBar", "f0.ts"), ("zzz qqq", "f1.ts"), ("", "no.ts"), (None, "f0.ts"), ("", None)]
+    q = spark.createDataFrame([(str(k), *a) for k, a in enumerate(asked)], "qid string, question string, path string")
+    got = {r.qid: r for r in router.scoped_heads(q, s, 3).collect()}
+    assert len(got) == len(asked) and any(r.n > 3 for r in got.values()) and got["0"].terms == ["fooBar"] and got["2"].terms == []
+    for k, (_, path) in enumerate(asked):
+        r = got[str(k)]
+        held = lambda n: r.terms == [] or n is not None and r.terms is not None and any(t is not None and t.lower() in n.lower() for t in r.terms)  # noqa: B023, E731
+        names = [n for _, _, n in sorted((ln, n is not None, n) for p, n, ln in syms if p == path and held(n))]
+        assert (r.n, r.names, r.status, r.miss_code) == (len(names), names[:3], *(("hit", None) if names else ("miss", "SYMBOL_NOT_FOUND")))
