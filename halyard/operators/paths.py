@@ -1,7 +1,7 @@
 """Literal-path questions: the cascade exact, basename, suffix, substring, refusing what is ambiguous.
 
-Exact and basename levels are hash joins. Suffix and substring candidates come from an n-gram index: of each question the
-rarest gram is looked up, and only files that hold it are compared, so no question meets all files.
+Exact and basename levels are joins by key. Suffix and substring candidates come from an n-gram index: of each distinct
+question the rarest gram is looked up, and only files that hold it are compared, so no question meets all files.
 """
 
 from __future__ import annotations
@@ -21,27 +21,37 @@ def prepared(questions: DataFrame) -> DataFrame:
     return q.withColumn("base", basename(F.col("lower_path")))
 
 
-def containing(q: DataFrame, files: DataFrame) -> DataFrame:
-    """qid, path, ord, at_end: the files whose lower-case path contains the question's."""
-    sized = q.select("qid", "lower_path", F.least(F.length("lower_path"), F.lit(3)).alias("n")).where("n > 0")
-    key = F.when(F.col("n") == 3, grams(F.col("lower_path"), 3)).otherwise(F.array("lower_path"))
-    qg = sized.select("qid", F.col("lower_path").alias("want"), F.explode(key).alias("g"))
-    short = sized.where("n < 3").limit(1).count() > 0
-    each = F.concat(*[grams(F.col("lower_path"), n) for n in ((1, 2, 3) if short else (3,))])
-    fg = files.select("path", "ord", "lower_path", F.explode(F.array_distinct(each)).alias("g"))
-    fg = fg.join(qg.select("g").distinct(), "g", "left_semi")
-    best = qg.join(fg.groupBy("g").count(), "g", "left").groupBy("qid", "want").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "g")).alias("m"))
-    best = best.where("m.c > 0").select("qid", "want", F.col("m.g").alias("g"))
-    hit = best.join(fg, "g").where(F.contains("lower_path", "want"))
-    return hit.select("qid", "path", "ord", F.endswith("lower_path", "want").alias("at_end"))
+#: The longest run of characters by which a question is looked up.
+RUN = 8
+
+
+def containing(wants: DataFrame, files: DataFrame) -> DataFrame:
+    """lower_path, path, ord, at_end: for each distinct `lower_path` asked, the files whose lower-case path contains it.
+
+    A question is looked up by the rarest of its runs of 8 characters (4, 2 or 1 where it is shorter): runs of three are
+    shared by a fixed part of all files, however many there are.
+    """
+    n = F.length("lower_path")
+    sized = wants.select("lower_path").where(n > 0).distinct().withColumn("n", F.when(n >= RUN, RUN).when(n >= 4, 4).when(n >= 2, 2).otherwise(1))
+    sizes = sorted(r.n for r in sized.select("n").distinct().collect())  # four at most
+    runs = lambda k: F.transform(grams(F.col("lower_path"), k), lambda g: F.xxhash64(g))
+    own = F.coalesce(*[F.when(F.col("n") == k, runs(k)) for k in sizes or [RUN]])
+    want = sized.select("lower_path", F.explode(own).alias("g"))
+    held = files.select("path", F.explode(F.array_distinct(F.concat(*[runs(k) for k in sizes or [RUN]]))).alias("g"))
+    count = held.groupBy("g").agg(F.count("*").alias("c"))
+    rare = want.join(count.hint("merge"), "g", "left").groupBy("lower_path").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g")).alias("m"))
+    rare = rare.where("m.c > 0").select(F.col("lower_path").alias("_want"), F.col("m.g").alias("g"))
+    hit = held.join(rare.hint("merge"), "g").select("_want", "path").join(files.select("path", "ord", "lower_path").hint("merge"), "path")
+    return hit.where(F.contains("lower_path", "_want")).select(F.col("_want").alias("lower_path"), "path", "ord", F.endswith("lower_path", "_want").alias("at_end"))
 
 
 def _levels(questions: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables that questions meet are as long as the files, so none is sent to the driver to be broadcast."""
     q = prepared(questions)
     first = lambda name: F.min(F.struct("ord", "path"))["path"].alias(name)
-    bases = files.groupBy("base").agg(F.count("*").alias("n_base"), first("base_file"))
-    exact = files.groupBy("lower_path").agg(F.count("*").alias("n_exact"), first("exact_file"))
-    strict = files.select(F.col("path").alias("norm"), F.lit(True).alias("strict"))
+    bases = files.groupBy("base").agg(F.count("*").alias("n_base"), first("base_file")).hint("merge")
+    exact = files.groupBy("lower_path").agg(F.count("*").alias("n_exact"), first("exact_file")).hint("merge")
+    strict = files.select(F.col("path").alias("norm"), F.lit(True).alias("strict")).hint("merge")
     return q, q.join(bases, "base", "left").join(exact, "lower_path", "left").join(strict, "norm", "left")
 
 
@@ -49,12 +59,13 @@ def cascade(questions: DataFrame, files: DataFrame) -> DataFrame:
     """qid, question, status, kind, n_files, file: the first level that decides; several files only as exact case variants."""
     q, lv = _levels(questions, files)
     lv = lv.withColumn("refused", ~F.col("explicit") & ~F.col("norm").contains("/") & (F.coalesce("n_base", F.lit(0)) > 1))
-    open_ = lv.where("NOT refused AND n_exact IS NULL AND coalesce(n_base, 0) != 1").select("qid", "lower_path")
-    got = containing(open_, files).groupBy("qid").agg(
+    open_ = ~F.col("refused") & F.col("n_exact").isNull() & (F.coalesce("n_base", F.lit(0)) != 1)
+    got = containing(lv.where(open_), files).groupBy("lower_path").agg(
         F.count("*").alias("n_sub"), F.count_if("at_end").alias("n_end"), F.min(F.struct("ord", "path"))["path"].alias("sub_file"),
         F.min(F.when(F.col("at_end"), F.struct("ord", "path")))["path"].alias("end_file"),
     )
-    r = lv.join(got, "qid", "left")
+    got = got.withColumnRenamed("lower_path", "_want").hint("merge")
+    r = lv.join(got, F.when(open_, F.col("lower_path")) == F.col("_want"), "left")
     kind = F.when(F.col("refused"), F.lit(None)).when(F.col("n_exact").isNotNull(), "exact").when(F.col("n_base") == 1, "basename").when(F.col("n_end") == 1, "suffix").when(F.col("n_sub") == 1, "substring")
     r = r.withColumn("kind", kind)
     file = F.when(F.col("kind") == "exact", F.when(F.col("strict"), F.col("norm")).otherwise(F.col("exact_file"))).when(F.col("kind") == "basename", F.col("base_file")).when(F.col("kind") == "suffix", F.col("end_file")).when(F.col("kind") == "substring", F.col("sub_file"))
@@ -62,19 +73,25 @@ def cascade(questions: DataFrame, files: DataFrame) -> DataFrame:
     return r.select("qid", "question", F.when(F.col("kind").isNull(), "miss").otherwise("hit").alias("status"), "kind", n.cast("long").alias("n_files"), file.alias("file"))
 
 
+def _first(rows: DataFrame, key: str, shown: int) -> DataFrame:
+    """key, kind, n_files, candidates: of rows (key, kind, path, ord) the number a key and the first `shown` in walk order."""
+    w = Window.partitionBy(key)
+    few = rows.withColumn("n_files", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("ord", "path"))).where((F.col("_r") <= shown) & (F.col("n_files") > 1))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"]), ",")
+    return few.groupBy(key).agg(F.first("kind").alias("kind"), F.first("n_files").alias("n_files"), listed.alias("candidates"))
+
+
 def collisions(questions: DataFrame, files: DataFrame, shown: int = 10) -> DataFrame:
-    """qid, question, miss_code, kind, n_files, candidates (the first `shown` in walk order) of ambiguous questions."""
-    q, lv = _levels(questions, files)
-    by_base = lv.where("n_base > 1 AND norm != ''").select("qid", "question", "base").join(files.select("base", "path", "ord"), "base").select("qid", "question", F.lit("basename").alias("kind"), "path", "ord")
-    rest = lv.where("coalesce(n_base, 0) <= 1")
-    hits = containing(rest.select("qid", "lower_path"), files)
-    n = hits.groupBy("qid").agg(F.count_if("at_end").alias("n_end"), F.count("*").alias("n_sub"))
-    kinds = n.where("n_end > 1 OR n_sub > 1").select("qid", F.when(F.col("n_end") > 1, "suffix").otherwise("substring").alias("kind"))
-    found = hits.join(kinds, "qid").where("kind = 'substring' OR at_end").join(rest.select("qid", "question"), "qid").select("qid", "question", "kind", "path", "ord")
-    every = by_base.unionByName(found)
-    # counts apart from the few that are shown: no question's candidates are gathered
-    n = every.groupBy("qid", "question", "kind").agg(F.count("*").alias("n_files"))
-    few = every.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("ord", "path"))).where(F.col("_r") <= shown)
-    few = few.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"]), ",").alias("candidates"))
-    got = n.join(few, "qid")
-    return got.select("qid", "question", F.lit("AMBIGUOUS_PATH_COLLISION").alias("miss_code"), "kind", "n_files", "candidates")
+    """qid, question, miss_code, kind, n_files, candidates (the first `shown` in walk order) of ambiguous questions.
+
+    Names and texts that many questions ask for are counted once each, before the questions meet them."""
+    q = prepared(questions).where("norm != ''").select("qid", "question", "lower_path", "base")
+    named = _first(files.select("base", F.lit("basename").alias("kind"), "path", "ord"), "base", shown)
+    q = q.join(named.hint("merge"), "base", "left").drop("base")
+    rest = q.where("kind IS NULL").select("qid", "question", "lower_path")
+    hits = containing(rest, files)
+    n_end = F.count_if("at_end").over(Window.partitionBy("lower_path"))
+    hits = hits.withColumn("kind", F.when(n_end > 1, "suffix").otherwise("substring")).where("kind = 'substring' OR at_end")
+    found = rest.join(_first(hits.drop("at_end"), "lower_path", shown).hint("merge"), "lower_path")
+    out = ["qid", "question", F.lit("AMBIGUOUS_PATH_COLLISION").alias("miss_code"), "kind", "n_files", "candidates"]
+    return q.where("kind IS NOT NULL").select(*out).unionByName(found.select(*out))

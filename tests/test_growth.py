@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from halyard.functions.substrings import holders
-from halyard.operators import router, symbols
+from halyard.operators import paths, router, symbols
 from halyard.plans import catalog
 from halyard.sources import corpus as C
 from tests.conftest import same
@@ -59,3 +59,27 @@ def test_scoped_heads(spark):
         held = lambda n: r.terms == [] or n is not None and r.terms is not None and any(t is not None and t.lower() in n.lower() for t in r.terms)  # noqa: B023, E731
         names = [n for _, _, n in sorted((ln, n is not None, n) for p, n, ln in syms if p == path and held(n))]
         assert (r.n, r.names, r.status, r.miss_code) == (len(names), names[:3], *(("hit", None) if names else ("miss", "SYMBOL_NOT_FOUND")))
+
+
+def test_path_questions_by_distinct_text(spark):
+    """Questions that many ask, and names that many files bear, against brute force; short, empty, null and long ones too."""
+    r = random.Random(5)
+    names = sorted({"/".join(r.choice(["ab", "Ab", "src", "x.ts", "y.ts", "é", "longer_name_of_a_file.ts", ""]) for _ in range(r.randrange(1, 4))) for _ in range(120)})
+    low = lambda t: (t.lower(), t.lower().split("/")[-1])
+    f = spark.createDataFrame([(p, k, *low(p)) for k, p in enumerate(names)], "path string, ord long, lower_path string, base string")
+    texts = ["", None, "a", "/", "é", "ts", ".TS", "b/x", "x.ts", "./x.ts", "longer_name", "longer_name_of_a_file.tss", *r.sample(names, 15), *[p[1:-1] for p in r.sample(names, 15)]] * 3
+    q = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "qid string, question string")
+    wants = paths.prepared(q).select("lower_path")
+    got = [(x.lower_path, x.path, x.at_end) for x in paths.containing(wants, f).collect()]
+    asked = {x.lower_path for x in wants.collect()} - {None, ""}
+    assert sorted(got) == sorted((w, p, p.lower().endswith(w)) for w in asked for p in names if w in p.lower())
+    want = set()
+    for k, t in enumerate(texts):
+        norm = None if t is None else t.removeprefix("./")
+        if norm:
+            named, ends, held = ([p for p in names if fits(p.lower())] for fits in (lambda p: p.split("/")[-1] == norm.lower().split("/")[-1], lambda p: p.endswith(norm.lower()), lambda p: norm.lower() in p))  # noqa: B023
+            for kind, found in (("basename", named), ("suffix", ends), ("substring", held)):
+                if len(found) > 1:
+                    want.add((str(k), t, "AMBIGUOUS_PATH_COLLISION", kind, len(found), ",".join(found[:10])))
+                    break
+    assert {tuple(x) for x in paths.collisions(q, f).collect()} == want and len(want) > 20
