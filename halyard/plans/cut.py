@@ -1,4 +1,4 @@
-"""Cutting lineage in iterative plans."""
+"""Cutting lineage in iterative plans, and spreading rows over the cluster."""
 
 from __future__ import annotations
 
@@ -16,3 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="halyard-cut-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows in enough parts for all cores, by a hash of `by` where it is given: a small file is one split and a small
+    shuffle one task, however much is made of each row after it."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *by)

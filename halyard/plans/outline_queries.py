@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions import text as T
 from halyard.operators import outline as O
 from halyard.operators import symbols as S
+from halyard.plans.cut import spread
 from halyard.plans.path_queries import _in
 from halyard.sources import corpus as C
 
@@ -36,14 +37,19 @@ def heading_spans(spark: SparkSession, folder: str) -> DataFrame:
     return O.section_ends(h.join(last, "path")).select("path", "line", F.col("level").cast("long").alias("level"), "end")
 
 
-def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    """conversation turns by users, and templates over symbol names and files."""
+def _questions(spark: SparkSession, folder: str, *of: Column) -> DataFrame:
+    """qid, question and `of` it: conversation turns by users, and templates over symbol names and files.
+
+    A qualified name is put in the templates once, however many symbols bear it; they get what is said of its questions.
+    """
     conv = C.table(spark, folder, "conversations").where("role = 'user'").select(F.concat_ws(":", F.lit("c"), "conv_id", "turn").alias("qid"), F.regexp_replace("text", r"\s+", " ").alias("question"))
     forms = ["Who calls {}?", "callers of {}", "What does {} call", "Where is {} declared?", "definition of {} please", "{}", "{}()", "How does {} work?", "show the architecture", "find {} in the module, e.g. a.b_c and fooBar", "what is {}", "Explain plugin architecture", "src/{}.ts"]
-    syms = C.symbols(spark, folder)
+    syms = C.symbols(spark, folder).withColumn("_key", F.coalesce(F.concat(F.lit("="), "qualified"), F.lit("")))
     parts = F.array(*[F.regexp_replace(F.lit(f), r"\{\}", F.col("qualified")) if "{}" in f else F.lit(f) for f in forms])
-    made = syms.select("tier", "path", "line", F.posexplode(parts).alias("k", "question"))
-    return conv.union(made.select(F.concat_ws(":", "tier", "path", "line", "k"), "question"))
+    names = spread(syms.select("_key", "qualified"), "_key").distinct().select("_key", F.posexplode(parts).alias("k", "question"))
+    made = spread(syms.select("_key", "tier", "path", "line"), "_key").join(names.select("*", *of), "_key").drop("_key")
+    made = made.select(F.concat_ws(":", "tier", "path", "line", "k").alias("qid"), *made.columns[4:])
+    return spread(conv).select("qid", "question", *of).union(made)
 
 
 FORMS_SQL = r"""forms AS (SELECT unnest(['Who calls {}?', 'callers of {}', 'What does {} call', 'Where is {} declared?', 'definition of {} please', '{}', '{}()', 'How does {} work?', 'show the architecture', 'find {} in the module, e.g. a.b_c and fooBar', 'what is {}', 'Explain plugin architecture', 'src/{}.ts']) f, unnest(range(13)) k),
@@ -52,12 +58,12 @@ FORMS_SQL = r"""forms AS (SELECT unnest(['Who calls {}?', 'callers of {}', 'What
 
 
 def intent_classify(spark: SparkSession, folder: str) -> DataFrame:
-    q = _questions(spark, folder).select("qid", "question", T.intent(F.col("question")).alias("i"), T.is_narrative(F.col("question")).alias("narrative"))
+    q = _questions(spark, folder, T.intent(F.col("question")).alias("i"), T.is_narrative(F.col("question")).alias("narrative"))
     return q.select("qid", "question", "i.tool", "i.target", "i.requires_parser", "narrative")
 
 
 def token_partition(spark: SparkSession, folder: str) -> DataFrame:
-    q = _questions(spark, folder).select("qid", T.tokens(F.col("question")).alias("t"))
+    q = _questions(spark, folder, T.tokens(F.col("question")).alias("t"))
     return q.select("qid", "t.shape", F.array_join("t.candidates", " ").alias("candidates"), F.array_join("t.plain", " ").alias("plain"))
 
 

@@ -83,3 +83,18 @@ def test_path_questions_by_distinct_text(spark):
                     want.add((str(k), t, "AMBIGUOUS_PATH_COLLISION", kind, len(found), ",".join(found[:10])))
                     break
     assert {tuple(x) for x in paths.collisions(q, f).collect()} == want and len(want) > 20
+
+
+def test_questions_are_spread_and_made_once_a_name(spark, small, tmp_path):
+    """Small files are one split; what is made of their rows is for all cores. Most parts bear one name."""
+    p = C.table(spark, small, "part").withColumn("p_brand", F.lit("Brand#1")).withColumn("p_name", F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise("hot bolt"))
+    p.write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for t in ("supplier", "customer", "conversations"):
+        C.table(spark, small, t).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("intent_classify", "token_partition"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+        same(df, c.sql(catalog.ORACLES[name]))
