@@ -5,7 +5,9 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from halyard.functions import fuzzy, trie
 from halyard.functions.substrings import holders
+from halyard.operators import fuzzy as ranking
 from halyard.operators import paths, router, symbols
 from halyard.plans import catalog
 from halyard.sources import corpus as C
@@ -98,3 +100,34 @@ def test_questions_are_spread_and_made_once_a_name(spark, small, tmp_path):
         df = catalog.QUERIES[name](spark, str(tmp_path))
         assert df.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
         same(df, c.sql(catalog.ORACLES[name]))
+
+
+def test_trie_and_scores():
+    r = random.Random(7)
+    word = lambda k, of="abAB1_.é\U0001f600": "".join(r.choices(of, k=r.randrange(k)))
+    names = sorted({word(14) for _ in range(400)} | {"", "a", "ab", "ab_" + "x" * 30})
+    t = trie.Trie(names)
+    for want in {fuzzy.lowered(word(6)) for _ in range(300)} - {""}:
+        got = sorted(n for node in t.matches(want) for n in names[node[trie.LO] : node[trie.HI]])
+        assert got == [n for n in names if fuzzy.is_subsequence(want, fuzzy.lowered(n))]
+    pairs = [(p, n) for n in names for p in (word(6), n[:3], n) if fuzzy.is_subsequence(fuzzy.lowered(p), fuzzy.lowered(n))]
+    assert fuzzy.scores(pairs, 500) == [fuzzy.score(p, n) for p, n in pairs]
+    assert all(fuzzy.ranges(n, n) == ([(0, len(fuzzy.units(n)))] if n else []) for n in names)
+
+
+def test_rank_where_many_names_score_the_same(spark):
+    """Names that share all that a token matches are settled together; the order among them is as before."""
+    syms = [(f"Customer_{k:04}", f"lib/{k % 3}.mjs", k, "function") for k in range(300)] + [("cosmeTer", "a.ts", 1, "class"), ("Customer_x", "b.ts", 2, "class"), ("ter", "z.ts", 3, "class"), ("ter", "y.ts", 9, "class")]
+    s = spark.createDataFrame(syms, "name string, path string, line long, kind string")
+    tokens = ["ter", "cust", "c1", "customer_0007", "omer_x", "zz", "Customer0001"]
+    asked = spark.createDataFrame([(t,) for t in tokens], "token string")
+    for caller in (None, "lib/1.mjs"):
+        want = set()
+        for t in tokens:
+            best = []
+            for n, p, ln, k in syms:
+                raw, near = fuzzy.score(t, n), 0 if caller is None else 20 if p.startswith("lib/") else 10
+                if raw >= 0 and (c := fuzzy.confidence(raw + near, len(t))) >= 60:
+                    best.append((-c, len(n), p, ln, n, k))
+            want |= {(t, i, n, p, ln, k, -c) for i, (c, _, p, ln, n, k) in enumerate(sorted(best)[:5], 1)}
+        assert {tuple(x)[:7] for x in ranking.rank(asked, s, caller=caller).collect()} == want
