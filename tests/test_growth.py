@@ -1,6 +1,8 @@
 """Steps whose rows once grew faster than their input: same results, from fewer rows."""
 
 import random
+import re
+import unicodedata
 
 import duckdb
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from halyard.functions import fuzzy, trie
 from halyard.functions.substrings import holders
 from halyard.operators import fuzzy as ranking
-from halyard.operators import paths, router, symbols
+from halyard.operators import integrity, paths, router, symbols
 from halyard.plans import catalog
 from halyard.sources import corpus as C
 from tests.conftest import same
@@ -131,3 +133,16 @@ def test_rank_where_many_names_score_the_same(spark):
                     best.append((-c, len(n), p, ln, n, k))
             want |= {(t, i, n, p, ln, k, -c) for i, (c, _, p, ln, n, k) in enumerate(sorted(best)[:5], 1)}
         assert {tuple(x)[:7] for x in ranking.rank(asked, s, caller=caller).collect()} == want
+
+
+def test_only_texts_that_nfc_may_change_go_to_python(spark):
+    r = random.Random(9)
+    pool = "aeé\u0301\u0323\u0327\u1100\u1161\u11a8\uac00\u09c7\u09be\u212b\u2126\ufb1d\U0001d15e\U0001f600\n "
+    texts = ["", None, "déjà vu, ç, ü\n日本語 한국어 \U0001f600", *["".join(r.choices(pool, k=r.randrange(1, 6))) for _ in range(600)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [x.n for x in df.select(integrity.nfc(F.col("t")).alias("n")).collect()] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    may = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in integrity.composable()) + "]")
+    assert not may.search(texts[2]) and all(may.search(t) or unicodedata.normalize("NFC", t) == t for t in texts if t)
+    odd = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert {x.t for x in df.where(F.col("t").rlike(integrity._pattern())).collect()} == {t for t in odd if may.search(t)}
