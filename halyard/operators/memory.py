@@ -69,7 +69,7 @@ def exact(questions: DataFrame, entries: DataFrame, fresh: DataFrame) -> DataFra
 def bm25(questions: DataFrame, docs: DataFrame, top: int = 5) -> DataFrame:
     """qid, id, rank, score: Okapi BM25 (k1 1.2, b 0.75) of docs (id, body) for questions (qid, question), best first,
     ties to the smaller id. Only shared terms are joined; a document with none never appears."""
-    d = docs.select("id", F.array_sort(memory_terms(F.col("body"))).alias("t"))
+    d = docs.select("id", F.sort_array(memory_terms(F.col("body"))).alias("t"))
     size = d.select(F.size("t").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     # a term's count is the distance between the starts of its run and the next in the sorted terms: no row a repeat
     at = F.filter(F.sequence(F.lit(0), F.size("t")), lambda i: (i == 0) | (i == F.size("t")) | (F.get("t", i) != F.get("t", i - 1)))
