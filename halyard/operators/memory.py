@@ -68,7 +68,8 @@ def exact(questions: DataFrame, entries: DataFrame, fresh: DataFrame) -> DataFra
 
 def bm25(questions: DataFrame, docs: DataFrame, top: int = 5) -> DataFrame:
     """qid, id, rank, score: Okapi BM25 (k1 1.2, b 0.75) of docs (id, body) for questions (qid, question), best first,
-    ties to the smaller id. Only shared terms are joined; a document with none never appears."""
+    ties to the smaller id. Only shared terms are joined; a document with none never appears. Questions with the same shared
+    terms are answered once."""
     d = docs.select("id", F.sort_array(memory_terms(F.col("body"))).alias("t"))
     size = d.select(F.size("t").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     # a term's count is the distance between the starts of its run and the next in the sorted terms: no row a repeat
@@ -79,12 +80,15 @@ def bm25(questions: DataFrame, docs: DataFrame, top: int = 5) -> DataFrame:
     q = questions.select("qid", F.explode(F.array_distinct(memory_terms(F.col("question")))).alias("term"))
     tf = post.join(q.select("term").distinct(), "term", "left_semi").select("term", "id", "len", "tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    s = q.join(tf, "term").join(df, "term").crossJoin(F.broadcast(size))  # size is one row
+    own = q.join(df.select("term"), "term", "left_semi").groupBy("qid").agg(F.sort_array(F.collect_list("term")).alias("terms"))  # a question's own
+    same = own.groupBy("terms").agg(F.min("qid").alias("_as"))
+    s = same.select(F.col("_as").alias("qid"), F.explode("terms").alias("term")).join(tf, "term").join(df, "term").crossJoin(F.broadcast(size))  # size is one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     s = s.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("qid", "id", F.col("rank").cast("long").alias("rank"), "score")
+    best = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumnRenamed("qid", "_as")
+    return own.join(same, "terms").select("qid", "_as").join(best, "_as").select("qid", "id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 def facet_map(entries: DataFrame, fresh: DataFrame, facets: list[str]) -> DataFrame:

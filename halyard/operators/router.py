@@ -22,7 +22,7 @@ COLUMNS = ["qid", "question", "status", "stage", "provider", "name", "path", "li
 TIERS = ("auto", "ast", "path", "fuzzy", "memory")
 
 
-def _rows(df: DataFrame, status: str, stage: str, provider: str, **cols: Column) -> DataFrame:
+def _rows(df: DataFrame, status: str, stage: str | Column, provider: str, **cols: Column) -> DataFrame:
     kinds = {"line": "long", "score": "double"}
     return df.select("qid", "question", F.lit(status).alias("status"), F.lit(stage).alias("stage"), F.lit(provider).alias("provider"), *[cols.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS[5:]])
 
@@ -34,7 +34,7 @@ def best_token(scored: DataFrame) -> DataFrame:
 
 
 def _fuzzy(open_: DataFrame, which: str, syms: DataFrame) -> DataFrame:
-    t = open_.select("qid", "question", "tool", "requires_parser", F.posexplode(f"tok.{which}").alias("pos", "token"))
+    t = open_.select("qid", "question", "tool", "requires_parser", F.posexplode(T.tokens(F.col("question"))[which]).alias("pos", "token"))
     top = fuzzy.rank(t.select("token"), syms, top=1)
     hit = t.join(top, "token")
     if which == "candidates":  # a call graph only starts at something callable
@@ -49,8 +49,8 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
     """
     if tier not in TIERS:
         raise ValueError(f"INVALID_TIER_OVERRIDE: {tier}")
-    q = questions.select("qid", "question", T.intent(F.col("question")).alias("i"), T.literal_intent(F.col("question")).alias("l"), T.tokens(F.col("question")).alias("tok"), T.is_narrative(F.col("question")).alias("told"))
-    q = cut(q.select("qid", "question", "i.tool", "i.target", "i.requires_parser", "l.*", "tok", "told"))
+    q = questions.select("qid", "question", T.intent(F.col("question")).alias("i"))
+    q = cut(q.select("qid", "question", "i.tool", "i.target", "i.requires_parser"))  # what later stages need is made for what is left
     files, syms = cut(files), cut(syms)  # every stage reads them
     done: list[DataFrame] = []
 
@@ -59,34 +59,37 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
         done.append(df)
         return cut(rest.join(df.select("qid"), "qid", "left_anti"))
 
+    def parted(cond: Column, status: str, stage: str, provider: str, **cols: Column) -> DataFrame:
+        """What a condition settles needs no join to leave the rest."""
+        done.append(_rows(rest.where(cond), status, stage, provider, **cols))
+        return rest.where(~F.coalesce(cond, F.lit(False)))
+
     rest = q
     soft = "hit" if auto_resolve else "junction"
     if tier in ("auto", "ast"):
-        arch = rest.where("requires_parser AND tool = 'get_architecture'")
-        rest = settle(_rows(arch, "hit", "architecture", "structure"), rest)
+        rest = parted(F.col("requires_parser") & (F.col("tool") == "get_architecture"), "hit", "architecture", "structure")
         asked = rest.where("requires_parser AND target IS NOT NULL")
-        got = symbols.answers(asked.select("qid", F.col("target").alias("question")), syms, widen=True).where("status = 'hit'").drop("question")
-        j = asked.select("qid", "question", "tool").join(got, "qid")
+        # targets that several questions share are looked up once
+        got = symbols.answers(asked.select(F.col("target").alias("qid"), F.col("target").alias("question")).distinct(), syms, widen=True).where("status = 'hit'").drop("question", "status").withColumnRenamed("qid", "target")
+        j = asked.select("qid", "question", "tool", "target").join(got.drop("stage"), "target")
         stage = F.when(F.col("ambiguous"), "ambiguous").otherwise(F.col("tool"))
-        hit = _rows(j, "hit", "structure", "structure", name=F.coalesce("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")).join(j.select("qid", stage.alias("s")), "qid").withColumn("stage", F.col("s")).drop("s")
-        rest = settle(hit.select(*COLUMNS), rest)
+        rest = settle(_rows(j, "hit", stage, "structure", name=F.col("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")), rest)
     if tier in ("auto", "path"):
-        lit = cut(rest if tier == "path" else rest.where("is_literal"))
+        rest = cut(rest.select("*", T.literal_intent(F.col("question")).alias("l")).select(*rest.columns, "l.*"))
+        literal = F.lit(True) if tier == "path" else F.coalesce("is_literal", F.lit(False))
+        lit, rest = rest.where(literal), rest.where(~literal)  # each literal question ends in this tier
         asked = lit.select("qid", F.col("normalized").alias("question"), "is_explicit")
         cas = cut(paths.cascade(asked, files).where("status = 'hit'").select("qid", "kind", "file"))
-        rest = settle(_rows(lit.join(cas, "qid"), "hit", "literal", "path", name=F.col("kind"), path=F.col("file")), rest)
+        done.append(_rows(lit.join(cas, "qid"), "hit", "literal", "path", name=F.col("kind"), path=F.col("file")))
         lit = cut(lit.join(cas.select("qid"), "qid", "left_anti"))
-        col = paths.collisions(lit.select("qid", F.col("normalized").alias("question")), files).select("qid", "candidates")
-        col = cut(col)
-        rest = settle(_rows(lit.join(col, "qid"), "miss", "literal", "path", name=F.col("candidates"), miss_code=F.lit("AMBIGUOUS_PATH_COLLISION")), rest)
+        col = cut(paths.collisions(lit.select("qid", F.col("normalized").alias("question")), files).select("qid", "candidates"))
+        done.append(_rows(lit.join(col, "qid"), "miss", "literal", "path", name=F.col("candidates"), miss_code=F.lit("AMBIGUOUS_PATH_COLLISION")))
         lit = cut(lit.join(col.select("qid"), "qid", "left_anti"))
         dotted = lit.where("could_be_symbol")
         key = dotted.select("qid", F.regexp_replace("normalized", r"\(\)\z", "").alias("question"))
-        sym = symbols.answers(key, syms).where("status = 'hit'").drop("question")
-        sym = cut(sym)
-        rest = settle(_rows(dotted.select("qid", "question").join(sym, "qid"), "hit", "literal_symbol", "structure", name=F.col("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")), rest)
-        lit = lit.join(sym.select("qid"), "qid", "left_anti")
-        rest = settle(_rows(lit, "miss", "literal", "path", miss_code=F.lit("SYMBOL_NOT_FOUND")), rest)
+        sym = cut(symbols.answers(key, syms).where("status = 'hit'").drop("question"))
+        done.append(_rows(dotted.select("qid", "question").join(sym.drop("stage", "status"), "qid"), "hit", "literal_symbol", "structure", name=F.col("qualified"), path=F.col("path"), line=F.col("line"), score=F.col("n_hits")))
+        done.append(_rows(lit.join(sym.select("qid"), "qid", "left_anti"), "miss", "literal", "path", miss_code=F.lit("SYMBOL_NOT_FOUND")))
     if tier in ("auto", "fuzzy"):
         rest = settle(_rows(_fuzzy(rest, "candidates", syms), soft, "fuzzy_identifiers", "fuzzy-lexical", name=F.col("name"), path=F.col("path"), line=F.col("line"), score=F.col("confidence")), rest)
     if tier in ("auto", "memory"):
@@ -98,13 +101,12 @@ def route(questions: DataFrame, files: DataFrame, syms: DataFrame, entries: Data
         near = memory.bm25(rest.select("qid", "question"), body, 1)
         rest = settle(_rows(rest.select("qid", "question").join(near, "qid"), soft, "memory_bm25", "memory", name=F.col("id").cast("string"), score=F.col("score")), rest)
     if tier == "memory":
-        rest = settle(_rows(rest, "miss", "memory", "memory", miss_code=F.lit("NO_CHARTED_MEMORY")), rest)
+        rest = parted(F.lit(True), "miss", "memory", "memory", miss_code=F.lit("NO_CHARTED_MEMORY"))
     if tier == "ast":
-        rest = settle(_rows(rest, "miss", "structure", "structure", miss_code=F.lit("SYMBOL_NOT_FOUND")), rest)
+        rest = parted(F.lit(True), "miss", "structure", "structure", miss_code=F.lit("SYMBOL_NOT_FOUND"))
     if tier == "auto":
-        trace = rest.where("requires_parser AND tool = 'trace_path'")
-        rest = settle(_rows(trace, "miss", "trace", "structure", miss_code=F.lit("SYMBOL_NOT_FOUND")), rest)
-        rest = settle(_rows(rest.where("told"), "miss", "narrative", "memory", miss_code=F.lit("NO_CHARTED_MEMORY")), rest)
+        rest = parted(F.col("requires_parser") & (F.col("tool") == "trace_path"), "miss", "trace", "structure", miss_code=F.lit("SYMBOL_NOT_FOUND"))
+        rest = parted(T.is_narrative(F.col("question")), "miss", "narrative", "memory", miss_code=F.lit("NO_CHARTED_MEMORY"))
     if tier in ("auto", "fuzzy"):
         rest = settle(_rows(_fuzzy(rest, "plain", syms), soft, "fuzzy_plain", "fuzzy-lexical", name=F.col("name"), path=F.col("path"), line=F.col("line"), score=F.col("confidence")), rest)
     code = "JUNCTION_EXHAUSTED" if tier == "auto" else "SYMBOL_NOT_FOUND"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from halyard.functions import fuzzy, trie
 from halyard.functions.substrings import holders
 from halyard.operators import fuzzy as ranking
-from halyard.operators import integrity, paths, router, symbols
+from halyard.operators import integrity, memory, paths, router, symbols
 from halyard.plans import catalog
 from halyard.sources import corpus as C
 from tests.conftest import same
@@ -146,3 +146,54 @@ def test_only_texts_that_nfc_may_change_go_to_python(spark):
     odd = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
     df = spark.createDataFrame([(t,) for t in odd], "t string")
     assert {x.t for x in df.where(F.col("t").rlike(integrity._pattern())).collect()} == {t for t in odd if may.search(t)}
+
+
+def test_best_names_are_found_without_meeting_all():
+    """Digits that most names hold: as brute force has it, from a small part of the names; odd alphabets too."""
+    r = random.Random(11)
+    for of in ("abAB1_.é", "0123456789_Ca", "ab"):
+        names = sorted({"".join(r.choices(of, k=r.randrange(14))) for _ in range(150)} | {f"Customer_{r.randrange(3000):06}" for _ in range(100)})
+        t, place = trie.Trie(names), list(range(len(names)))
+        r.shuffle(place)
+        for top, least in ((1, 60), (5, 60), (3, 1)):
+            first = {}
+            for _ in range(40):
+                want = "".join(r.choices(of + "0123", k=r.randrange(1, 7))) if r.random() < 0.7 else r.choice(names) or "a"
+                grade = lambda raw, n=len(want): fuzzy.confidence(raw, n)
+                full = sorted((-grade(s), place[k], s) for k, n in enumerate(names) if (s := fuzzy.score(want, n)) >= 0 and grade(s) >= least)
+                assert t.best(fuzzy.lowered(want), top, place, grade, least, first) == full[:top]
+    names = [f"Customer_{k:09}" for k in range(30_000)]
+    t, place, graded = trie.Trie(names), list(range(30_000)), []
+    for want in ("1024", "100", "2999"):
+        grade = lambda raw, n=len(want): graded.append(raw) or fuzzy.confidence(raw, n)
+        (_, k, raw), *_ = t.best(want, 1, place, grade, 60, {})
+        held = [(-fuzzy.confidence(s, len(want)), k, s) for k, (n, s) in enumerate(zip(names, fuzzy.scores([(want, n) if fuzzy.is_subsequence(want, n) else ("", "") for n in names]))) if s > 0]
+        assert min(held)[1:] == (k, raw)
+    assert len(graded) < 3_000
+
+
+def test_tokens_that_are_names_and_tokens_that_fit_nowhere(spark):
+    """Names that are the token, case aside, come first whether joined or searched; the Kelvin sign is a k."""
+    syms = [("Ab_cd", "p.ts", 1, "class"), ("aB_cd", "a.ts", 2, "class"), ("AB_CD_x", "a.ts", 1, None), ("oK_1", "k.ts", 1, "class"), ("ok_12", "k.ts", 2, "class"), ("\U0001f600ab_cd", "e.ts", 1, "class"), (None, "n.ts", 1, "class"), ("", "n.ts", 2, "class"), ("ok_1", None, None, "class")] + [("many", "m.ts", k, "class") for k in range(9)]
+    s = spark.createDataFrame(syms, "name string, path string, line long, kind string")
+    tokens = ["ab_cd", "AB_CD", "ok_1", "oK_1", "many", "Many", "zzz", "ab_cd_xy", "\U0001f600ab", "m", "ab_cd" * 9]
+    asked = spark.createDataFrame([(t,) for t in tokens], "token string")
+    for top in (1, 2, 5):
+        want = set()
+        for t in tokens:
+            full = []
+            for n, p, ln, k in syms:
+                if n and (raw := fuzzy.score(t, n)) >= 0 and (c := fuzzy.confidence(raw, len(fuzzy.units(t)))) >= 60:
+                    full.append((-c, len(n), p is not None, p or "", ln or 0, n, p, ln, k))
+            want |= {(t, i, n, p, ln, k, -c) for i, (c, _, _, _, _, n, p, ln, k) in enumerate(sorted(full, key=lambda x: x[:6])[:top], 1)}
+        assert {tuple(x)[:7] for x in ranking.rank(asked, s, top=top).collect()} == want
+
+
+def test_questions_with_the_same_shared_terms(spark):
+    """BM25 scores a set of terms once, whatever the number of questions that come to it."""
+    docs = spark.createDataFrame([(k, f"alpha {'beta ' * (k % 3)}gamma{k}") for k in range(30)], "id long, body string")
+    texts = ["alpha", "beta alpha", "gamma7 beta", "none"]
+    few = {r.qid: (r.id, r.rank, r.score) for r in memory.bm25(spark.createDataFrame([(t, t) for t in texts], "qid string, question string"), docs, 1).collect()}
+    asked = spark.createDataFrame([(f"{t}:{k}", f"x{k}y {t}") for t in texts for k in range(200)], "qid string, question string")
+    got = memory.bm25(asked, docs, 1).collect()
+    assert len(got) == 600 and all((r.id, r.rank, r.score) == few[r.qid.split(":")[0]] for r in got)
