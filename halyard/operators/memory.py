@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halyard.functions.text import exact_question, is_not_applicable, js_round, memory_terms
+from halyard.plans.cut import cut
 
 K1, B = 1.2, 0.75
 
@@ -78,7 +79,7 @@ def bm25(questions: DataFrame, docs: DataFrame, top: int = 5) -> DataFrame:
     runs = F.transform(F.slice("at", F.lit(1), F.size("at") - 1), lambda a, k: F.struct(F.get("t", a).alias("term"), (F.get("at", k + 1) - a).cast("long").alias("tf")))
     post = d.select("id", "len", F.inline(runs))
     q = questions.select("qid", F.explode(F.array_distinct(memory_terms(F.col("question")))).alias("term"))
-    tf = post.join(q.select("term").distinct(), "term", "left_semi").select("term", "id", "len", "tf")
+    tf = cut(post.join(q.select("term").distinct(), "term", "left_semi").select("term", "id", "len", "tf"))  # bodies are read once
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     own = q.join(df.select("term"), "term", "left_semi").groupBy("qid").agg(F.sort_array(F.collect_list("term")).alias("terms"))  # a question's own
     same = own.groupBy("terms").agg(F.min("qid").alias("_as"))
